@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_reuse, packing, quality_cascade, repair_store, surrogates, template_extraction, threshold_topk, token_counts
+from . import chunk_reuse, packing, quality_cascade, repair_store, suffix_dedup, surrogates, template_extraction, threshold_topk, token_counts
 from .common import shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op4_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.encode(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), digests=True)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), digests=True, keep=("doc_id",))
+
+
 def op7_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op3_quality_cascade": op3_quality_cascade,
         "op5_surrogates": op5_surrogates,
         "op4_chunk_reuse_bpe": op4_chunk_reuse_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_resync_token_counts": op7_resync_token_counts,
         "op10_threshold_topk": op10_threshold_topk,
         "op8_bin_slack_packing": op8_bin_slack_packing,
