@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_reuse, packing, quality_cascade, repair_store, suffix_dedup, surrogates, template_extraction, threshold_topk, token_counts
+from . import chunk_reuse, packing, quality_cascade, repair_store, signature_join, suffix_dedup, surrogates, template_extraction, threshold_topk, token_counts
 from .common import shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op9_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.linked(_table(spark, sf_dir, "documents"))
+
+
 def op10_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = threshold_topk.scaled(_table(spark, sf_dir, "embeddings"))
     return threshold_topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op4_chunk_reuse_bpe": op4_chunk_reuse_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_resync_token_counts": op7_resync_token_counts,
+        "op9_signature_join": op9_signature_join,
         "op10_threshold_topk": op10_threshold_topk,
         "op8_bin_slack_packing": op8_bin_slack_packing,
     }

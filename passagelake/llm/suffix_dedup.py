@@ -283,3 +283,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: i
 
     out = keyed.join(spans, ["k1", "k2"], "left").select(*keep, "text", "spans").mapInArrow(cut, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept string"]))
     return out.withColumnRenamed("kept", "kept_sha256" if digests else "kept_text")
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN, text_column: str = "text") -> DataFrame:
+    """docs with the repeated strings removed from the text; all other columns as they were."""
+    others = [c for c in docs.columns if c != text_column]
+    safe = [f"_{i}" for i in range(len(others))]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(others, safe)], F.col(f"`{text_column}`").alias("text"))
+    out = remove_repeats(renamed, span, keep=tuple(safe)).withColumnRenamed("kept_text", "text")
+    names = dict(zip(others, safe)) | {text_column: "text"}
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
