@@ -12,7 +12,8 @@ A byte is removed if a string of SPAN bytes that covers it also starts somewhere
    occurrences. In an interval of common prefix d the occurrences are sorted by what stands before them: where they
    differ on the left (else a longer string covers the repeat) neighbours give how far each match extends, and an
    extension of at least SPAN - d bytes marks repeated windows.
-4. A group of over GROUP contexts is not gathered: the hashes of all its windows are dealt out and counted instead.
+4. A group of over GROUP contexts is not gathered: it passes in parts of GROUP; of each part's windows the repeated
+   ones are marked at once, and one row for each distinct window is dealt out by its hash and counted.
 
 Equal texts are handled once: spans depend on the text alone, and a text of at least SPAN bytes that occurs twice
 goes whole. Rows meet in sorted streams, so no group is held in memory beyond GROUP contexts.
@@ -34,7 +35,7 @@ from .common import mixed, prefix_hash, slices, span_hash, stored, window_hash
 
 SPAN = 200
 GRAM = 64
-GROUP = 1500
+GROUP = 16_384  # contexts of one anchor that a task holds: 5.5 MB
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -200,19 +201,39 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
         names = ("gram", "k1", "k2", "at", "before", "after")
         current, rows, hot, out, last = None, [], False, [], None
 
-        def windows(k1, k2, at, before, after):
-            data = np.frombuffer(before + after, np.uint8)
-            if len(data) < span:
+        def windows():
+            """The windows of the waiting part of a large group: repeated ones are marked, each distinct one is dealt out once."""
+            found = []
+            for k1, k2, at, before, after in rows:
+                data = np.frombuffer(before + after, np.uint8)
+                if len(data) >= span:
+                    prefix = prefix_hash(data)
+                    starts = np.arange(min(len(data) - span, len(before)) + 1)
+                    found.append((np.full(len(starts), k1), np.full(len(starts), k2), at - len(before) + starts, span_hash(prefix, starts, starts + span).view(np.int64), mixed(span_hash(prefix, starts, starts + span // 2)).view(np.int64)))
+            rows.clear()
+            if not found:
                 return
-            prefix = prefix_hash(data)
-            starts = np.arange(len(data) - span + 1)
-            starts = starts[starts <= len(before)]
-            one = span_hash(prefix, starts, starts + span)
-            two = span_hash(prefix, starts, starts + span // 2)
-            out.extend(zip([k1] * len(starts), [k2] * len(starts), (at - len(before) + starts).tolist(), (at - len(before) + starts + span).tolist(), one.view(np.int64).tolist(), mixed(two).view(np.int64).tolist()))
+            k1, k2, start, one, two = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((start, k2, k1, two, one))
+            k1, k2, start, one, two = (x[order] for x in (k1, k2, start, one, two))
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            # a window that two anchors of one place share is one occurrence
+            other = (k1 != k1[first]) | (k2 != k2[first]) | (start != start[first])
+            twice = np.zeros(len(new), bool)
+            twice[first[other]] = True
+            marked = twice[first]
+            last = None
+            for a, b, c in zip(k1[marked].tolist(), k2[marked].tolist(), start[marked].tolist()):
+                if last != (a, b, c):
+                    out.append((a, b, c, c + span, None, None))
+                last = (a, b, c)
+            out.extend(zip(k1[new].tolist(), k2[new].tolist(), start[new].tolist(), (start[new] + span).tolist(), one[new].tolist(), two[new].tolist()))
 
         def close():
-            if not hot and len(rows) > 1:
+            if hot:
+                windows()
+            elif len(rows) > 1:
                 for (k1, k2, at, _, _), ranges in zip(rows, repeated_windows([r[3:] for r in rows], span, gram)):
                     out.extend((k1, k2, a, b, None, None) for a, b in merged([at - hi for _, hi in ranges], [at - lo + span for lo, _ in ranges]))
 
@@ -229,15 +250,10 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
                 if row[0] != current:
                     close()
                     current, rows, hot = row[0], [], False
-                if hot:
-                    windows(*row[1:])
-                else:
-                    rows.append(row[1:])
-                    if len(rows) > group:
-                        hot = True
-                        for r in rows:
-                            windows(*r)
-                        rows = []
+                rows.append(row[1:])
+                if len(rows) > group:
+                    hot = True
+                    windows()
                 if len(out) > 50_000:
                     yield flush()
         close()
