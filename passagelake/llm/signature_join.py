@@ -2,12 +2,15 @@
 
 A document's set holds the hashes of its distinct n-grams of lower-cased words; equal sets are one node.
 
-1. Candidates. Linked sets differ in few elements: at most d for their size. Each set is dealt into d + 1 segments by
-   its elements' hash; of two linked sets one segment at least must be equal. A row for each segment brings equal
-   ones together in a sorted stream; each set is tied to the first of its segment. Sizes are taken in levels, and a
-   set near a level's end is dealt out for both, so no link is lost.
+1. Candidates. Linked sets differ in few elements: at most d for their size. Each set is dealt into (d + 1) / 2 blocks
+   of three segments by its elements' hash; of two linked sets one block at least differs in one element at most, so
+   two of its segments are equal. A row for each pair of segments brings equal ones together in a sorted stream; each
+   set is tied to the first one of its row. Sizes are taken in levels, and a set near a level's end is dealt out for
+   both, so no link is lost.
 2. Sets tied together, directly or not, form a candidate group; it is verified by itself. A group of over LIMIT
-   elements is cut into blocks by size and hash, and pairs of blocks of fitting sizes are verified.
+   elements is taken apart: the sets tied to one set are verified together, so a set goes on once for each set that it
+   is tied to. If these are over LIMIT, they are cut into blocks by size and hash, and pairs of blocks of fitting sizes
+   are verified.
 3. In a group the sets are leaves of a signature tree. Its nodes hold the range of their sets' sizes and the OR (and
    AND) of their bitmaps, in which the group's shared elements have a bit each. Two nodes are traversed together
    unless their greatest possible overlap is too small for a link, or all their sets are connected already. Pairs of
@@ -31,7 +34,8 @@ from .graphs import components
 
 LIMIT = 3_000_000  # elements that one verifying task holds of a group
 LEAF = 32
-LEVEL = 1.7
+LEVEL = 1.4
+BROADCAST_ROWS = 250_000  # a table of up to so many rows of 32 bytes is sent to all executors, a larger one is shuffled
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,19 +85,33 @@ def ceilings(percent: int) -> list[int]:
 
 
 def segments(grams: np.ndarray, percent: int, tops: list[int]) -> np.ndarray:
-    """Hashes of the set's segments, for each level that a linked set's size may belong to."""
+    """Hashes of the pairs of segments, for each level that a linked set's size may belong to."""
     n, out = len(grams), []
     first = int(np.searchsorted(tops, n))
     last = int(np.searchsorted(tops, n * 100 // percent))
     for level in range(first, last + 1):
         # of sets a, b with overlap i: 100 i >= percent (a + b - i), so they differ in (a + b) (100 - percent) / (100 + percent) at most
-        count = 2 * tops[level] * (100 - percent) // (100 + percent) + 1
+        differ = 2 * tops[level] * (100 - percent) // (100 + percent)
         salt = np.full(1, level, np.uint64)
         salted = mixed(grams + salt * _B)
-        at = ((salted >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        held = np.zeros(count, np.uint64)
-        np.add.at(held, at, mixed(salted ^ _C))
-        out.append(mixed(held + np.arange(count, dtype=np.uint64) * _A + salt * _C))
+        values = mixed(salted ^ _C)
+        if not differ:
+            out.append(mixed(values.sum(dtype=np.uint64, keepdims=True) + salt * _C))
+            continue
+        blocks = differ // 2 + 1
+        spare = min(2, blocks // 12)  # so many more blocks differ in one element at most
+        blocks += spare
+        at = ((salted >> np.uint64(32)) * np.uint64(3 * blocks) >> np.uint64(32)).astype(np.int64)
+        held = np.zeros(3 * blocks, np.uint64)
+        np.add.at(held, at, values)
+        held = held.reshape(blocks, 3)
+        empty = held == 0
+        pairs = np.concatenate([held[:, i] * _A + held[:, j] for i, j in ((0, 1), (0, 2), (1, 2))])
+        keys = mixed(mixed(pairs) + np.arange(3 * blocks, dtype=np.uint64) * _A + salt * _C)
+        # two empty segments say nothing; without them a linked set is still met while no more blocks than `spare` hold two
+        if (empty.sum(axis=1) > 1).sum() <= spare:
+            keys = keys[np.concatenate([~(empty[:, i] & empty[:, j]) for i, j in ((0, 1), (0, 2), (1, 2))])]
+        out.append(keys)
     return np.concatenate(out)
 
 
@@ -263,8 +281,11 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
 
     dealt = source.select("text").mapInArrow(deal, "segment long, s1 long, s2 long")
     ties = dealt.repartition("segment").sortWithinPartitions("segment", "s1", "s2").mapInArrow(tie, "s1 long, s2 long, g1 long, g2 long")
-    groups = components(ties.distinct().select(_node("s1", "s2").alias("a"), _node("g1", "g2").alias("b")))
+    ties = stored(ties.distinct(), "ties")
+    groups = components(ties.select(_node("s1", "s2").alias("a"), _node("g1", "g2").alias("b")))
     groups = stored(groups.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.col("root.s1").alias("g1"), F.col("root.s2").alias("g2")), "candidates")
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
 
     def with_print(batches):
         for batch in slices(batches, "text"):
@@ -287,20 +308,30 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
     texts = source.select("text").mapInArrow(with_print, "text string, s1 long, s2 long")
     members = texts.join(groups, ["s1", "s2"]).mapInArrow(with_set, "s1 long, s2 long, g1 long, g2 long, size long, grams binary")
     members = stored(members, "sets")
-    # blocks: by size, so that linked sets are at most two classes apart, and by hash where a class is large
-    sized = members.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent) / 2) * 1.000001)).cast("int"))
-    large = sized.groupBy("g1", "g2").agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select("g1", "g2")
-    whole = sized.join(large, ["g1", "g2"], "left_anti").select("s1", "s2", "g1", "g2", F.lit(0).alias("x"), F.lit(0).alias("y"), "grams")
-    parts = sized.join(large, ["g1", "g2"], "left_semi")
+    group = ["g1", "g2"]
+    over = lambda rows: rows.groupBy(*group).agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select(*group)
+    task = lambda rows: rows.select("s1", "s2", "g1", "g2", F.lit(0).alias("x"), F.lit(0).alias("y"), "grams")
+    large = stored(over(members), "large-groups")
     split = not large.isEmpty()
+    whole = task(members.join(large, group, "left_anti") if split else members)
     if split:
-        classes = parts.groupBy("g1", "g2", "c").agg(F.ceil(F.sum("size") * 2 / limit).cast("int").alias("k"))
-        blocks = classes.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("block", F.col("c") * 65536 + F.col("h")).select("g1", "g2", "c", "block")
-        other = blocks.select("g1", "g2", F.col("c").alias("c2"), F.col("block").alias("y"))
-        pairs = blocks.join(other, ["g1", "g2"]).filter((F.col("c2") - F.col("c")).between(0, 3) & (F.col("block") <= F.col("y"))).select("g1", "g2", F.col("block").alias("x"), "y")
-        placed = parts.join(classes, ["g1", "g2", "c"]).withColumn("block", F.col("c") * 65536 + F.pmod("s1", F.col("k")))
-        side = lambda name, rows: placed.join(rows.withColumn("block", F.col(name)), ["g1", "g2", "block"]).select("s1", "s2", "g1", "g2", "x", "y", "grams")
-        whole = whole.unionByName(side("x", pairs)).unionByName(side("y", pairs.filter("x <> y")))
+        tied = ties.unionByName(ties.select(F.col("g1").alias("s1"), F.col("g2").alias("s2"), "g1", "g2").distinct())
+        apart = members.join(large, group, "left_semi").drop(*group).join(tied, ["s1", "s2"])
+        sizes = members.join(large, group, "left_semi").select("s1", "s2", "size").join(tied, ["s1", "s2"])
+        huge = stored(over(sizes), "large-ties")
+        if huge.isEmpty():
+            whole = whole.unionByName(task(apart))
+        else:
+            whole = whole.unionByName(task(apart.join(huge, group, "left_anti")))
+            # blocks: by size, so that linked sets are at most three classes apart, and by hash where a class is large
+            size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent) / 2) * 1.000001)).cast("int").alias("c")
+            classes = sizes.join(huge, group, "left_semi").groupBy(*group, size_class).agg(F.ceil(F.sum("size") * 2 / limit).cast("int").alias("k"))
+            blocks = classes.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("block", F.col("c") * 65536 + F.col("h")).select(*group, "c", "block")
+            other = blocks.select(*group, F.col("c").alias("c2"), F.col("block").alias("y"))
+            pairs = blocks.join(other, group).filter((F.col("c2") - F.col("c")).between(0, 3) & (F.col("block") <= F.col("y"))).select(*group, F.col("block").alias("x"), "y")
+            placed = apart.withColumn("c", size_class).join(classes, [*group, "c"]).withColumn("block", F.col("c") * 65536 + F.pmod("s1", F.col("k")))
+            side = lambda name, rows: placed.join(rows.withColumn("block", F.col(name)), [*group, "block"]).select("s1", "s2", "g1", "g2", "x", "y", "grams")
+            whole = whole.unionByName(side("x", pairs)).unionByName(side("y", pairs.filter("x <> y")))
 
     def verify(batches):
         key, rows = None, []
