@@ -99,7 +99,7 @@ def segments(grams: np.ndarray, percent: int, tops: list[int]) -> np.ndarray:
             out.append(mixed(values.sum(dtype=np.uint64, keepdims=True) + salt * _C))
             continue
         blocks = differ // 2 + 1
-        spare = min(2, blocks // 12)  # so many more blocks differ in one element at most
+        spare = min(blocks // 12, 2 + blocks // 40)  # so many more blocks differ in one element at most
         blocks += spare
         at = ((salted >> np.uint64(32)) * np.uint64(3 * blocks) >> np.uint64(32)).astype(np.int64)
         held = np.zeros(3 * blocks, np.uint64)
