@@ -7,7 +7,7 @@ aggregated like any sum and no page list is ever gathered. Classes whose tokens
 are the template: they are nested by their paths, the class that stands once in each page being the outermost. What
 the template leaves open are its slots, each below the deepest template element that holds it; a slot is told by
 its elements (menu, footer, advert ...), its links and its amount of text, and the host's main slot is kept.
-Template texts outside an article are dropped. A page without its host's main slot is judged by itself.
+Template texts outside an article, or what is named as one, are dropped. A page without its host's main slot is judged by itself.
 
 Per host only tokens of at least SUPPORT of its pages are brought together: their number is bounded by the tokens of
 a page over SUPPORT. Templates join the pages by host; Spark broadcasts them only below its size threshold, and
@@ -212,7 +212,10 @@ def page_text(blocks, root: str | None, texts: frozenset[int]) -> str:
     if not kept:
         root = main_root(regions_of(own))
         kept = [b for b in own if root and under(b[0].path, root)]
-    return "\n".join(text for node, text, _, _ in kept if node.inside or not texts or text_token(container(node), text) not in texts)
+    # in an article, or what is named as one, a text that many pages share is still the page's own
+    step = (root or "").rsplit(">", 1)[-1]
+    sure = step.split(".")[0] in ("article", "main") or MAIN_WORDS & {w.lower() for w in PART.findall(step.partition(".")[2])}
+    return "\n".join(text for node, text, _, _ in kept if sure or node.inside or not texts or text_token(container(node), text) not in texts)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -1,0 +1,185 @@
+import collections
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from passagelake.llm import quality_cascade, queries, signature_join, suffix_dedup, surrogates, template_extraction, threshold_topk
+
+
+def removed(texts, span):
+    count = collections.Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    for t in texts:
+        hit = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - span + 1):
+            if count[t[i : i + span]] > 1:
+                hit[i : i + span] = True
+        kept = bytes(b for b, h in zip(t, hit) if not h)
+        yield len(t), int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("group", [2, 16384])
+def test_suffix_dedup(spark, group):
+    r, words = random.Random(5), ["ab", "cde", "f", "ghij", "é"]
+    parts = ["".join(r.choice(words) for _ in range(60)) for _ in range(6)]
+    rows = [(i, "".join(r.choice(parts) if r.random() < 0.5 else "".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 6)))) for i in range(80)]
+    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "a" * 30), (204, rows[3][1]), (204, rows[3][1]), (None, "xy" * 90)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, gram int")
+    out = suffix_dedup.remove_repeats(df, 40, 12, group, digests=True, keep=("doc_id",)).collect()
+    expected = [(i, *e) for (i, _), e in zip(rows, removed([(t or "").encode() for _, t in rows], 40))]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, expected))
+    assert suffix_dedup.remove_repeats(df.limit(0), keep=("doc_id",)).count() == 0
+    assert suffix_dedup.without_repeats(df).columns == df.columns
+
+
+def test_maximal_repeats_have_all_occurrences():
+    assert sorted(suffix_dedup.intervals([3, 5, 5, 0, 2], 2)) == [(2, 4, 5), (3, 0, 3), (5, 1, 3)]
+
+
+def components(rows, n=4, percent=85):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return [(i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("limit, percent", [(3_000_000, 85), (500, 85), (100, 80)])
+def test_signature_join(spark, limit, percent):
+    r, rows = random.Random(3), []
+    for i in range(250):
+        base = r.randrange(12)
+        w = [f"w{base}_{k}" for k in range([3, 4, 6, 9, 15, 30, 60, 100, 200, 300, 5, 40][base])]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"x{r.randrange(50)}"
+        w += [f"t{k}" for k in range(r.randrange(8))] if r.random() < 0.3 else []
+        rows.append((i, " ".join(w).upper() if r.random() < 0.2 else " ".join(w)))
+    rows += [(500, None), (501, ""), (502, " \n "), (503, rows[7][1]), (503, rows[7][1])]
+    df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, s1 string")
+    out = signature_join.linked(df, 4, percent, limit).collect()
+    assert sorted(map(tuple, out)) == sorted(components(rows, 4, percent))
+    kept = {x.doc_id for x in signature_join.one_of_each(df, 4, percent).collect()}
+    assert kept == {c for _, _, c in components(rows, 4, percent)}
+    assert signature_join.linked(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 4096])
+def test_signature_tree(bits):
+    r = np.random.default_rng(2)
+    base = [np.unique(r.integers(0, 1 << 40, 80).astype(np.uint64)) for _ in range(8)]
+    sets = [np.unique(np.concatenate([r.choice(b, len(b) - r.integers(0, 12), False), r.integers(0, 1 << 40, r.integers(0, 3)).astype(np.uint64)])) for b in base for _ in range(20)]
+    found = signature_join.SignatureTree(sets, 85, bits).link()
+    parent = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            i = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                old, new = parent[a], parent[b]
+                parent = [new if x == old else x for x in parent]
+    assert len({(x, y) for x, y in zip(parent, found.tolist())}) == len(set(parent)) == len(set(found.tolist()))
+
+
+def test_quality(spark):
+    texts = [None, "", "word " * 60, " ".join(f"w{i}" for i in range(60)), "\n".join(["same line here"] * 30), "A B C " * 30, " ".join(f"w{i}###" for i in range(60)), " ".join(f"LOUD{i}X!!" for i in range(60)), "a b c d a b c", "x\x0by\x0cz\r\n\t q"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[3], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = quality_cascade.judge_quality(df)
+    documents = df.select("doc_id", "text").toPandas()
+    documents["doc_id"] = documents.doc_id.astype("Int64")
+    expected = duckdb.sql(queries.OP3)
+    columns = sorted(expected.columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, (tuple(r) for r in expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())))
+    assert sorted(r.doc_id or -1 for r in got.filter("kept").collect()) == sorted(r.doc_id or -1 for r in quality_cascade.filter_quality(df).collect()) == [-1, 3, 3]
+    assert quality_cascade.judge_quality(df.limit(0)).count() == 0
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    df = spark.range(1000)
+    order, found = quality_cascade.ordered(df, {"never": F.lit(False), "half": F.col("id") % 2 == 0})
+    assert order == ["half", "never"] and found["half"][1] == pytest.approx(0.5, abs=0.2)
+
+
+def test_surrogates(spark):
+    rows = [(1, "Mail a.b@x.example.com or A.B@X.EXAMPLE.COM; call +1 (017) 555-7713 or +1 017 555 7713. Card 4111 1111 1111 1111, 4111111111111111."), (2, None), (3, ""), (4, "Mrs Maria Keller met Mr Keller and MR KELLER at 97.51.17.173; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" Frau Анна Иванова"), (5, "Version 2.0 of 4.0 on 2024-01-02, 12345 and 100 000 things"), (5, "again 97.51.17.173")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, kind int")
+    out = {(r.doc_id, k): r for k, r in enumerate(surrogates.replace_entities(df, count_column="n").collect())}
+    by = {i: [r.text for (j, _), r in out.items() if j == i] for i in range(1, 6)}
+    assert by[2] == [None] and by[3] == [""] and rows[4][1] in by[5]
+    for old in ("a.b@x", "555-7713", "4111", "Keller", "97.51.17", "04dbebab", "Анна"):
+        assert not any(old.lower() in (t or "").lower() for ts in by.values() for t in ts)
+    mail, other = re.match(r"Mail (\S+) or (\S+);", by[1][0]).groups()
+    assert other == mail.upper()
+    phones = re.search(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4})\.", by[1][0]).groups()
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    cards = re.search(r"Card (\d{4} \d{4} \d{4} \d{4}), (\d{16})\.", by[1][0]).groups()
+    digits = [int(c) for c in cards[1]]
+    assert cards[0].replace(" ", "") == cards[1] and sum(d if k % 2 else (2 * d if d < 5 else 2 * d - 9) for k, d in enumerate(digits)) % 10 == 0
+    first, last, again, loud = re.match(r"Mrs (\w+a) (\w+) met Mr (\w+) and MR (\w+) at", by[4][0]).groups()
+    assert last == again and loud == last.upper()
+    assert re.search(r"Frau [а-яА-Я]+ [а-яА-Я]+$", by[4][0])
+    assert re.search(r"at ([\d.]+);", by[4][0])[1] in [t for t in by[5] if t.startswith("again")][0]
+
+
+def test_surrogates_stay_distinct(spark):
+    addresses = [f"user{i}@mail.example.com" for i in range(40)]
+    df = spark.createDataFrame([(i, f"to {a} and {addresses[0]}") for i, a in enumerate(addresses)], "doc_id long, text string")
+    few = lambda kind, norm, attempt: F.concat(F.lit("s"), F.pmod(F.xxhash64(norm, attempt), F.when(attempt < 3, 10).otherwise(10_000)).cast("string"), F.lit("@x.org"))
+    out = surrogates.replace_entities(df, make=few).orderBy("doc_id").collect()
+    new = [r.text.split(" ")[1] for r in out]
+    assert len(set(new)) == 40 and {r.text.split(" ")[3] for r in out} == {new[0]}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</script></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
+<nav class=menu><a href=/>Home</a></nav><div class="wrap"><div class="post-content"><h2>Title &amp; more %s</h2><p>One   two<br>three &lt;%s&gt;.<ul><li>a<li>b</ul><form><input><label>x</label></form></div>
+<div class="comments"><p>nice</p></div><div class="sidebar">side</div></div><!-- <p>no</p> --><footer>f</footer></body></html>"""
+
+
+def test_template_extraction(spark):
+    rows = [(i, f"https://a.example.com/{i}", PAGE % (i, i)) for i in range(6)] + [(10, None, PAGE % (1, 1)), (11, "odd", None), (12, "http://b.example/", ""), (13, "http://b.example/", "plain words"), (13, "http://b.example/", "plain words"), (14, "https://a.example.com/cut", "<article><p>half &am")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
+    out = [tuple(r) for r in template_extraction.extract(df).collect()]
+    text = lambda i: f"Title & more {i}\nOne two three <{i}>.\na\nb"
+    expected = [(i, u, text(i), len(text(i))) for i, u, _ in rows[:6]] + [(10, None, text(1), len(text(1))), (11, "odd", "", 0), (12, "http://b.example/", "", 0)] + [(13, "http://b.example/", "plain words", 11)] * 2 + [(14, "https://a.example.com/cut", "half &am", 8)]
+    assert sorted(map(repr, out)) == sorted(map(repr, expected))
+    assert template_extraction.extract(df.limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(1)
+    vectors = [(i, r.integers(-3, 4, 6).astype(float).tolist()) for i in range(300)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (7, [0.5] * 6)]
+    df = threshold_topk.scaled(spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<double>, score int"))
+    for block in (64, 8192):
+        out = collections.defaultdict(list)
+        for x in threshold_topk.top_k(df, df.filter("vec_id % 50 = 0"), 5, block).orderBy("query_id", "rank").collect():
+            out[x.query_id].append((x["rank"], x.vec_id, x.score))
+        rows = [(i, np.floor(256 * np.asarray(v)).astype(int)) for i, v in vectors[:300] + vectors[-1:]]
+        for q, qv in rows:
+            if q % 50 == 0:
+                best = sorted((-int(qv @ v), i) for i, v in rows if i != q)[:5]
+                assert out[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert threshold_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_threshold_stops_early():
+    r = np.random.default_rng(0)
+    lists = threshold_topk.SortedLists(np.arange(5000), r.integers(0, 256, (5000, 2)))
+    assert lists.top(-1, np.asarray([250, 3]), 5)[2] < 2500
