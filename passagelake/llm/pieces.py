@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,10 @@ class PieceEncoder:
             rest = [i for i, c in enumerate(coded) if c is None]
             for i, e in zip(rest, self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)):
                 coded[i] = e.ids
-            for k, ids in zip(new, coded):
-                self.index[k] = self.size
-                self.size += 1
+            self.index.update(zip(new, range(self.size, self.size + len(new))))
+            self.size += len(new)
             lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids = np.fromiter((i for c in coded for i in c), np.uint32, int(lengths.sum()))
+            ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
             while self.used + len(ids) > len(self.arena):
                 self.arena = np.concatenate([self.arena, np.zeros(len(self.arena), np.uint32)])
             while self.size > len(self.starts):
@@ -133,7 +133,8 @@ class PieceEncoder:
             self.lengths[self.size - len(coded) : self.size] = lengths
             self.starts[self.size - len(coded) : self.size] = self.used + np.cumsum(lengths) - lengths
             self.used += len(ids)
-            found = list(map(self.index.get, keys))
+            numbers = iter(range(self.size - len(new), self.size))
+            found = [next(numbers) if at is None else at for at in found]
         return np.asarray(found, np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -148,7 +149,8 @@ class PieceEncoder:
         strange = np.zeros(n, bool)
         if self.keeps_space:
             firsts, lead = offsets[:-1], [words[c] for c in codes[offsets[:-1]]]
-            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))[codes]
+            # with its space before it, a piece is odd if it has no other character, or white space at either end
+            odd = np.fromiter((w.strip() != w or not w for w in words), bool, len(words))[codes]
             odd[firsts] = [bool(w) and w[-1].isspace() for w in lead]
             strange = np.logical_or.reduceat(odd, firsts)
             rows = self._rows([" " + w for w in words] + lead)
