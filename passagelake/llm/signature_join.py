@@ -7,8 +7,10 @@ A document's set holds the hashes of its distinct n-grams of lower-cased words;
    two of its segments are equal. A row for each pair of segments brings equal ones together in a sorted stream; each
    set is tied to the first one of its row. Sizes are taken in levels, and a set near a level's end is dealt out for
    both, so no link is lost.
-2. Sets tied together, directly or not, form a candidate group; it is verified by itself. A group of over LIMIT
-   elements is taken apart: the sets tied to one set are verified together, so a set goes on once for each set that it
+2. Each set has a bitmap of the parities of its elements' hashes; two bitmaps differ in no more bits than their sets
+   in elements. Of the sets tied to one set those go on whose bitmaps differ in few enough bits for a link, tied to
+   each other (sets of over HELD bytes of bitmaps stay tied as they are). What is then tied together, directly or not,
+   forms a candidate group; it is verified by itself. A group of over LIMIT elements is taken apart: the sets tied to one set are verified together, so a set goes on once for each set that it
    is tied to. If these are over LIMIT, they are cut into blocks by size and hash, and pairs of blocks of fitting sizes
    are verified.
 3. In a group the sets are leaves of a signature tree. Its nodes hold the range of their sets' sizes and the OR (and
@@ -35,6 +37,8 @@ from .graphs import components
 LIMIT = 3_000_000  # elements that one verifying task holds of a group
 LEAF = 32
 LEVEL = 1.4
+HELD = 32 << 20  # bytes of bitmaps that one task compares
+WIDEST = 1 << 16  # bits of a parity bitmap at most
 BROADCAST_ROWS = 250_000  # a table of up to so many rows of 32 bytes is sent to all executors, a larger one is shuffled
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -76,6 +80,51 @@ def fingerprint(grams: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, at least one for each element up to WIDEST, of the parities of their hashes."""
+    width = min(WIDEST, max(64, 1 << max(0, len(grams) - 1).bit_length()))
+    at = (mixed(grams ^ _B) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible_links(sizes: list[int], bitmaps: list[bytes], percent: int) -> list[int]:
+    """For each set the first one that it is joined with through pairs whose bitmaps allow a link."""
+    n = len(sizes)
+    size, width = np.asarray(sizes, np.int64), np.asarray([len(b) for b in bitmaps])
+    widths = np.unique(width).tolist()
+    folded, row = {}, {}
+    for w in widths:
+        wider = np.flatnonzero(width >= w)
+        row[w] = np.full(n, -1)
+        row[w][wider] = np.arange(len(wider))
+        # halves laid over each other: the bitmap of half the bits
+        folded[w] = np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, w // 8), axis=0) for i in wider])
+    root, left = [-1] * n, np.arange(n)
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first], stack = first, [first]
+        left = left[left != first]
+        while stack and len(left):
+            i, found = stack.pop(), []
+            for w in widths:
+                if w > width[i]:
+                    break
+                to = left[width[left] >= w] if w == width[i] else left[width[left] == w]
+                if len(to):
+                    apart = np.bitwise_count(folded[w][row[w][to]] ^ folded[w][row[w][i]]).sum(-1, dtype=np.int64)
+                    total = size[to] + size[i]
+                    near = (100 + percent) * apart <= (100 - percent) * total
+                    near &= 100 * np.minimum(size[to], size[i]) >= percent * np.maximum(size[to], size[i])
+                    found += to[near].tolist()
+            if found:
+                for j in found:
+                    root[j] = first
+                stack += found
+                left = left[~np.isin(left, found)]
+    return root
+
+
 def ceilings(percent: int) -> list[int]:
     """Greatest sizes of the levels; up to the first, linked sets must be equal."""
     out = [max(1, ((100 + percent) - 1) // (2 * (100 - percent)))]
@@ -237,7 +286,7 @@ def _node(s1: str, s2: str):
     return F.struct(F.col(s1).alias("s1"), F.col(s2).alias("s2"))
 
 
-def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, held: int = HELD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -246,8 +295,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
     def sketch(batches):
         for batch in slices(batches, "text"):
             sets = gram_sets(batch.column("text"), n)
-            prints = [fingerprint(s) for s in sets]
-            yield _batch(id=batch.column("id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([p[0] for p in prints], pa.int64()), s2=pa.array([p[1] for p in prints], pa.int64()))
+            marks = [fingerprint(s) for s in sets]
+            yield _batch(id=batch.column("id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([p[0] for p in marks], pa.int64()), s2=pa.array([p[1] for p in marks], pa.int64()), bitmap=pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary()))
 
     def deal(batches):
         seen = set()
@@ -282,7 +331,43 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
     dealt = source.select("text").mapInArrow(deal, "segment long, s1 long, s2 long")
     ties = dealt.repartition("segment").sortWithinPartitions("segment", "s1", "s2").mapInArrow(tie, "s1 long, s2 long, g1 long, g2 long")
     ties = stored(ties.distinct(), "ties")
-    groups = components(ties.select(_node("s1", "s2").alias("a"), _node("g1", "g2").alias("b")))
+    tied = ties.unionByName(ties.select(F.col("g1").alias("s1"), F.col("g2").alias("s2"), "g1", "g2").distinct())
+    sketches = stored(source.mapInArrow(sketch, f"id {kind}, n_shingles long, s1 long, s2 long, bitmap binary"), "sketches")
+
+    def compare(batches):
+        key, rows, bytes_held, over_held = None, {}, 0, False
+
+        def close():
+            nodes = list(rows)
+            if len(nodes) < 2:
+                return []
+            found = possible_links([rows[x][0] for x in nodes], [rows[x][1] for x in nodes], percent)
+            return [(*nodes[i], *nodes[j]) for i, j in enumerate(found) if i != j]
+
+        def edges(pairs):
+            columns = list(zip(*pairs)) if pairs else [()] * 4
+            return _batch(**{c: pa.array(x, pa.int64()) for c, x in zip(("s1", "s2", "r1", "r2"), columns)})
+
+        for batch in batches:
+            out = []
+            for s1, s2, *k, size, bitmap in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "g1", "g2", "n_shingles", "bitmap"))):
+                if k != key:
+                    out += close()
+                    key, rows, bytes_held, over_held = k, {}, 0, False
+                if over_held:
+                    out.append((s1, s2, *k))
+                elif (s1, s2) not in rows:
+                    rows[s1, s2] = (size, bitmap)
+                    bytes_held += len(bitmap)
+                    if bytes_held > held:
+                        out += [(*x, *k) for x in rows]
+                        rows, over_held = {}, True
+            yield edges(out)
+        yield edges(close())
+
+    bitmaps = sketches.select("s1", "s2", "n_shingles", "bitmap").join(tied.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    near = tied.join(bitmaps, ["s1", "s2"]).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(compare, "s1 long, s2 long, r1 long, r2 long")
+    groups = components(near.select(_node("s1", "s2").alias("a"), _node("r1", "r2").alias("b")))
     groups = stored(groups.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.col("root.s1").alias("g1"), F.col("root.s2").alias("g2")), "candidates")
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
@@ -315,7 +400,6 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
     split = not large.isEmpty()
     whole = task(members.join(large, group, "left_anti") if split else members)
     if split:
-        tied = ties.unionByName(ties.select(F.col("g1").alias("s1"), F.col("g2").alias("s2"), "g1", "g2").distinct())
         apart = members.join(large, group, "left_semi").drop(*group).join(tied, ["s1", "s2"])
         sizes = members.join(large, group, "left_semi").select("s1", "s2", "size").join(tied, ["s1", "s2"])
         huge = stored(over(sizes), "large-ties")
@@ -361,8 +445,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, i
         joined = components(links.select(_node("s1", "s2").alias("a"), _node("r1", "r2").alias("b")))
         roots = joined.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"))
     roots = stored(roots, "roots")
-    rows = source.mapInArrow(sketch, f"id {kind}, n_shingles long, s1 long, s2 long").join(roots, ["s1", "s2"], "left")
-    rows = stored(rows.select("id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2")), "sketches")
+    rows = sketches.drop("bitmap").join(roots, ["s1", "s2"], "left")
+    rows = rows.select("id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2"))
     least = rows.filter("n_shingles > 0").groupBy("r1", "r2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("r1", "r2", "least")
     out = rows.join(least, ["r1", "r2"], "left")
     return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))

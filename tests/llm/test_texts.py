@@ -77,6 +77,7 @@ def test_signature_join(spark, limit, percent):
     df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, s1 string")
     out = signature_join.linked(df, 4, percent, limit).collect()
     assert sorted(map(tuple, out)) == sorted(components(rows, 4, percent))
+    assert sorted(signature_join.linked(df, 4, percent, limit, held=100).collect()) == sorted(out)
     kept = {x.doc_id for x in signature_join.one_of_each(df, 4, percent).collect()}
     assert kept == {c for _, _, c in components(rows, 4, percent)}
     assert signature_join.linked(df.limit(0)).count() == 0
@@ -183,3 +184,13 @@ def test_threshold_stops_early():
     r = np.random.default_rng(0)
     lists = threshold_topk.SortedLists(np.arange(5000), r.integers(0, 256, (5000, 2)))
     assert lists.top(-1, np.asarray([250, 3]), 5)[2] < 2500
+
+
+def test_parity_bitmaps_lose_no_link():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: (k := int(r.integers(1, 3000)))][r.random(k) > r.choice([0.0, 0.05, 0.3])], r.integers(0, 1 << 63, int(r.integers(1, 60)), dtype=np.uint64)])) for _ in range(120)]
+    for percent in (80, 85):
+        root = signature_join.possible_links([len(s) for s in sets], [signature_join.parities(s) for s in sets], percent)
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
+        assert linked and all(root[i] == root[j] for i, j in linked) and len(set(root)) > 1
