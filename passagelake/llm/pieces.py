@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ MAX_PIECES = 1_000_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of these characters are normalised alike by Python and by the library: no marks to compose, plain lower case.
 PLAIN = r"[\x00-\u024F]*"
-#: Stands for the end of a word where merges are looked up; no UTF-8 text holds this byte.
-WORD_END = b"\xff"
+#: Stands for the end of a word where merges are looked up; pieces that hold it are left to the library.
+WORD_END = "\x01"
 
 
 @lru_cache(maxsize=4)
@@ -59,13 +59,16 @@ class PieceEncoder:
         self.tokenizer = library(path)
         with open(path) as f:
             kind = json.load(f)
-        self.fast = self._merges(kind)
         # white space is dropped by a Split that keeps only its matches; else a space belongs to the word after it
         self.keeps_space = (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+        self.fast = self._merges(kind)
         self._reset()
 
     def _merges(self, kind: dict):
-        """A function from a piece to its ids or None, by the file's own merges in tiktoken's faster loop; the library keeps the rest."""
+        """A function from pieces to all their ids and each one's number of ids, by the file's own merges in tiktoken's faster loop.
+
+        It takes the pieces joined by the single spaces at which they were cut, so their ids are those of one text.
+        """
         import regex
         import tiktoken
 
@@ -77,65 +80,85 @@ class PieceEncoder:
             if token in special:
                 continue
             ended = bool(suffix) and token.endswith(suffix) and token != suffix
-            ranks[bytes(byte_of[c] for c in (token[: -len(suffix)] if ended else token)) + (WORD_END if ended else b"")] = i
-        core = tiktoken.Encoding("file", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        plain = regex.compile(PLAIN).fullmatch
+            ranks[bytes(byte_of[c] for c in (token[: -len(suffix)] if ended else token)) + (WORD_END.encode() if ended else b"")] = i
+        self.plain = regex.compile(PLAIN).fullmatch
         if suffix:
-            split, single = regex.compile(WORDS).findall, core.encode_single_piece
+            split, space = regex.compile(WORDS + "| ").findall, ranks[b" " + WORD_END.encode()]
+            encode = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
-            def fast(piece: str):
-                if not plain(piece) or "<|" in piece:
-                    return None
-                words = split(piece.lower())
-                if len(words) == 1:
-                    return single(words[0].encode() + WORD_END)
-                return [i for w in words for i in single(w.encode() + WORD_END)]
+            def fast(pieces: list[str]):
+                ids = np.asarray(encode(WORD_END.join(split(" ".join(pieces).lower() + " ")) + WORD_END), np.uint32)
+                between = np.flatnonzero(ids == space)  # no word holds a space
+                return np.delete(ids, between), np.diff(between, prepend=-1) - 1
 
         else:
             import public_tokenizers
 
             encode = tiktoken.Encoding("text", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            widths = np.zeros(max(ranks.values()) + 1, np.int64)
+            widths[list(ranks.values())] = list(map(len, ranks))
 
-            def fast(piece: str):
-                return encode(piece) if plain(piece) and "<|" not in piece else None
+            def fast(pieces: list[str]):
+                ids = np.asarray(encode("".join(pieces)), np.uint32)
+                stops = np.cumsum([len(p.encode()) for p in pieces])
+                return ids, np.diff(np.searchsorted(np.cumsum(widths[ids]), stops) + 1, prepend=0)
 
         return fast
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.odd: list[bool] = []
+        self.leads: dict[str, int] = {}
         self.size = 0
+        self.odd = np.zeros(1 << 12, bool)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.arena = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _rows(self, keys: list[str]) -> np.ndarray:
-        """Where each key stands in the table; keys not met before are encoded now."""
-        if len(self.index) > MAX_PIECES:
-            self._reset()
-        found = list(map(self.index.get, keys))
-        new = [k for k, at in zip(keys, found) if at is None]
-        if new:
-            coded = list(map(self.fast, new))
-            rest = [i for i, c in enumerate(coded) if c is None]
-            for i, e in zip(rest, self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)):
-                coded[i] = e.ids
-            self.index.update(zip(new, range(self.size, self.size + len(new))))
-            self.size += len(new)
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
-            while self.used + len(ids) > len(self.arena):
-                self.arena = np.concatenate([self.arena, np.zeros(len(self.arena), np.uint32)])
-            while self.size > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            self.arena[self.used : self.used + len(ids)] = ids
-            self.lengths[self.size - len(coded) : self.size] = lengths
-            self.starts[self.size - len(coded) : self.size] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(ids)
-            numbers = iter(range(self.size - len(new), self.size))
-            found = [next(numbers) if at is None else at for at in found]
-        return np.asarray(found, np.int64)
+    def _is_fast(self, piece: str) -> bool:
+        return (piece.isascii() or self.plain(piece) is not None) and "<|" not in piece and WORD_END not in piece
+
+    def _add(self, pieces: list[str], odd: list[bool]) -> np.ndarray:
+        """Encodes new pieces; their numbers."""
+        lengths = np.zeros(len(pieces), np.int64)
+        fast = np.fromiter(map(self._is_fast, pieces), bool, len(pieces))
+        if self.keeps_space:  # joined, only a space between two other characters keeps to its own piece
+            fast &= ~np.asarray(odd, bool)
+            fast &= np.fromiter((p[:1] == " " for p in pieces), bool, len(pieces))
+        quick, slow = np.flatnonzero(fast), np.flatnonzero(~fast)
+        ids, counts = self.fast([pieces[i] for i in quick]) if len(quick) else (np.zeros(0, np.uint32), 0)
+        lengths[quick] = counts
+        coded = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in slow], add_special_tokens=False)]
+        lengths[slow] = list(map(len, coded))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.uint32)])
+        order = np.concatenate([quick, slow])
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
+        numbers = np.arange(self.size, self.size + len(pieces))
+        self.size += len(pieces)
+        while self.used + len(ids) > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros(len(self.arena), np.uint32)])
+        while self.size > len(self.starts):
+            self.starts, self.lengths, self.odd = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lengths, self.odd))
+        self.arena[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.starts[numbers], self.lengths[numbers], self.odd[numbers] = starts, lengths, odd
+        return numbers
+
+    def _rows(self, index: dict[str, int], words: list[str], lead: bool) -> np.ndarray:
+        """Where each word stands in the table; those not met before are encoded now."""
+        found = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [words[i] for i in at]
+            if lead:
+                new = list(dict.fromkeys(new))
+            # with its space before it, a piece is odd if it has no other character, or white space at either end
+            odd = [bool(w) and w[-1].isspace() for w in new] if lead else [not w or w.strip() != w for w in new]
+            numbers = self._add([" " + w for w in new] if self.keeps_space and not lead else new, odd)
+            index.update(zip(new, numbers.tolist()))
+            found[at] = [index[words[i]] for i in at] if lead else numbers
+        return found
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         n = len(texts)
@@ -145,19 +168,15 @@ class PieceEncoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = parts.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         strange = np.zeros(n, bool)
+        if len(self.index) + len(self.leads) > MAX_PIECES:
+            self._reset()
+        at = self._rows(self.index, words, False)[codes]
         if self.keeps_space:
-            firsts, lead = offsets[:-1], [words[c] for c in codes[offsets[:-1]]]
-            # with its space before it, a piece is odd if it has no other character, or white space at either end
-            odd = np.fromiter((w.strip() != w or not w for w in words), bool, len(words))[codes]
-            odd[firsts] = [bool(w) and w[-1].isspace() for w in lead]
-            strange = np.logical_or.reduceat(odd, firsts)
-            rows = self._rows([" " + w for w in words] + lead)
-            at = rows[: len(words)][codes]
-            at[firsts] = rows[len(words) :]
-        else:
-            at = self._rows(words)[codes]
+            firsts = offsets[:-1]
+            at[firsts] = self._rows(self.leads, [words[c] for c in codes[firsts]], True)
+            strange = np.logical_or.reduceat(self.odd[at], firsts)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1])
