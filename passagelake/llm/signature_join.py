@@ -453,7 +453,10 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the documents linked, directly or not, to one of smaller id. Rows of one id are one document; rows with a null id stay."""
-    found = linked(docs, n, percent, id_column=id_column, text_column=text_column)
-    losing = found.filter(F.col("component_id") < F.col(id_column)).select(id_column).distinct()
-    return docs.join(losing, id_column, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """docs with one row of each component: that of the least non-null id, among equal ids that of the least text hash, then of the first row. Each row, repeated or of a null id, is a document of its own."""
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    id_, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("hash"), F.col("_row").alias("row"))
+    found = linked(numbered.select(key.alias("key"), text.alias("text")), n, percent, id_column="key")
+    losing = found.filter(F.col("component_id") < F.col("key")).select(F.col("key.row").alias("_row"))
+    return numbered.join(losing, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

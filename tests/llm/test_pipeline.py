@@ -15,3 +15,23 @@ def test_stages(spark, tmp_path):
     assert sorted(seen["quality rules"]) == [0, 1, 2, 3, 5] and sorted(seen["n-gram Jaccard join"]) == [0, 2, 3, 5]
     assert all(passage[20:-20] not in t for t in seen["suffix-array dedup"].values()) and "x.y@mail" not in seen["PII"][5] and "@" in seen["PII"][5]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 2, 3, 5}
+
+
+def test_repeated_rows_and_null_ids_keep_one_document(spark, tmp_path):
+    words = lambda k: " ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)}word{i * 31 + k * 1009}" for i in range(80))
+    # a repeated row, null-id copies, a null-id copy of a row with an id, and an id whose rows are a copy and a text of its own
+    rows = [(1, words(1)), (1, words(1)), (None, words(2)), (None, words(2)), (None, words(3)), (4, words(3)), (5, words(5)), (6, words(5) + " tail"), (6, words(6)), (None, words(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(1, words(1)), (None, words(2)), (4, words(3)), (5, words(5)), (6, words(6)), (None, words(7))]
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("n-gram Jaccard join", "suffix-array dedup", "PII"):
+        docs = corpus_pipeline.stored(stages[name](spark, docs, str(tmp_path)), "test")
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(repr, kept)), name
+    # no whole text is lost on the way to packing: each kept document's ids and its end id
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = [(r.doc_id, r.doc_tokens) for r in pieces if r.start == 0]
+    assert sorted(str(i) for i, _ in whole) == sorted(str(i) for i, _ in kept) and all(n > 80 for _, n in whole)
+    assert sum(r.length for r in pieces) == sum(n for _, n in whole)
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
