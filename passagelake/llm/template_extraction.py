@@ -2,9 +2,10 @@
 
 Pages of one host tend to come from one template. Each page is read as tokens: its elements, named by their path
 of tags and classes, and its texts, named by path and content. Tokens with the same occurrence vector over the
-host's pages form an equivalence class; the vector enters as a sum of keyed page numbers times counts, so it is
-aggregated like any sum and no page list is ever gathered. Classes whose tokens stand in at least half of the pages
-are the template: they are nested by their paths, the class that stands once in each page being the outermost. What
+host's distinct pages (copies count once) form an equivalence class; the vector enters as a sum of keyed page numbers
+times counts, so it is aggregated like any sum and no page list is ever gathered. Classes of two tokens or more that
+stand in at least half of these pages are the template, as far as they are valid: a second reading of the pages drops
+tokens that break their class's order and classes that do not nest with a larger one; a token alone is data. What
 the template leaves open are its slots, each below the deepest template element that holds it; a slot is told by
 its elements (menu, footer, advert ...), its links and its amount of text, and the host's main slot is kept.
 Template texts outside an article, or what is named as one, are dropped. A page without its host's main slot is judged by itself.
@@ -34,7 +35,8 @@ from .common import slices, stored
 
 SUPPORT = 0.2
 TEMPLATE = 0.5
-LEAST_PAGES = 3  # a host with fewer shows no template
+LEAST_PAGES = 3  # a host with fewer distinct pages shows no template
+LARGE = 2  # a token alone with its vector is data, not template
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[!/?a-zA-Z][^<>]*\Z", re.S | re.I)
 NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -67,26 +69,27 @@ class Node:
         self.link = tag == "a" or bool(parent and parent.link)
 
 
-def read(page: str) -> tuple[list[tuple[Node, str, int, int]], dict[str, int]]:
-    """The page's blocks in order, (element, text, characters, of them in links), and how often each element's path stands in it."""
+def read(page: str) -> tuple[list[tuple[Node, str, int, int, int]], dict[str, list[int]]]:
+    """The page's blocks in order, (element, text, characters, of them in links, place), and the places of each element's path."""
     root = Node("", "", None)
     stack, blocks, paths, pieces, linked, at = [root], [], {}, [], 0, 0
-    holder = root
+    holder, place, begun = root, 0, 0
 
     def close() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                blocks.append((holder, text, len(text), linked))
+                blocks.append((holder, text, len(text), linked, begun))
             pieces, linked = [], 0
 
     def said(text: str) -> None:
-        nonlocal linked, holder
+        nonlocal linked, holder, place, begun
         if not pieces:
             if not text or text.isspace():
                 return
-            holder = stack[-1]
+            holder, place = stack[-1], place + 1
+            begun = place
         pieces.append(text)
         if stack[-1].link:
             linked += len(text.strip())
@@ -129,7 +132,8 @@ def read(page: str) -> tuple[list[tuple[Node, str, int, int]], dict[str, int]]:
             close()
         if not m[5].endswith("/") or tag in BLOCKS:
             stack.append(node)
-        paths[node.path] = paths.get(node.path, 0) + 1
+        place += 1
+        paths.setdefault(node.path, []).append(place)
     if at < len(page):
         said(page[at:])
     close()
@@ -174,7 +178,7 @@ def main_root(regions: dict[str, tuple[int, int]]) -> str | None:
 
 def regions_of(blocks) -> dict[str, tuple[int, int]]:
     out: dict[str, tuple[int, int]] = {}
-    for node, _, chars, links in blocks:
+    for node, _, chars, links, _ in blocks:
         if not node.aside:
             key = container(node)
             a, b = out.get(key, (0, 0))
@@ -187,14 +191,65 @@ def text_token(path: str, text: str) -> int:
     return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
 
 
+def classes_of(tokens: pd.DataFrame, pages: int) -> list[list[int]]:
+    """The large classes of a host that span its pages, each the rows' numbers in the order of the tokens' mean places.
+
+    Tokens of one vector stand in the same pages, so if one precedes another in each of them, its sum of places is less.
+    """
+    frequent = tokens[tokens.n_pages >= TEMPLATE * pages].sort_values(["places", "member"])
+    return [list(rows) for rows in frequent.groupby("vector").groups.values() if len(rows) >= LARGE] if pages >= LEAST_PAGES else []
+
+
+def misplaced(places: dict[int, list[int]], classes: list[list[int]]) -> set[int]:
+    """Members of classes that break their class's order, or whose class does not nest with a larger one, in a page with these places of tokens."""
+    bad: set[int] = set()
+    events: list[tuple[int, int, int, int]] = []
+    for c, members in enumerate(classes):
+        first = before = None
+        valid = []
+        for m in members:
+            own = places.get(m)
+            if own is None:  # the class is not in this page
+                continue
+            if before is not None and not (len(own) == len(before) and all(a < b for a, b in zip(before, own)) and all(a < b for a, b in zip(own, first[1:]))):
+                bad.add(m)
+                continue
+            first, before = first or own, own
+            valid.append(own)
+        for k, own in enumerate(valid):
+            events += [(p, c, k, len(valid)) for p in own]
+    # each round of a class opens with its first token and closes with its last; what opens in between closes in between
+    out: set[int] = set()
+    stack: list[int] = []
+    for _, c, k, n in sorted(events):
+        if c in out:
+            continue
+        if k:
+            while stack[-1] != c:
+                d = stack[-1]
+                if (len(classes[d]), -d) > (len(classes[c]), -c):
+                    out.add(c)
+                    stack.remove(c)
+                    break
+                out.add(d)
+                stack.pop()
+            if c in out:
+                continue
+        else:
+            stack.append(c)
+        if k == n - 1:
+            stack.pop()
+    return bad.union(*(classes[c] for c in out))
+
+
 def deduce(tokens: pd.DataFrame, pages: int) -> tuple[str | None, list[int]]:
-    """(main slot's root, template texts) of a host from its tokens: path, token (0: an element), vector, n_pages, chars, links."""
+    """(main slot's root, template texts) of a host from its tokens: path, token (0: an element), member, vector, n_pages, places, chars, links, bad (misplaced)."""
     if pages < LEAST_PAGES:
         return None, []
-    frequent = tokens[tokens.n_pages >= TEMPLATE * pages]
-    classes = frequent.groupby("vector").path.agg(list)
-    template = {p for c in classes for p in c}  # valid: their vectors agree, and nesting is that of the paths
-    texts = [int(t) for t in frequent.token[frequent.token != 0]]
+    valid = [kept for c in classes_of(tokens, pages) if len(kept := [k for k in c if not tokens.bad[k]]) >= LARGE]
+    rows = tokens.loc[[k for c in valid for k in c]]
+    template = set(rows.path[rows.token == 0])
+    texts = [int(t) for t in rows.token[rows.token != 0]]
     slots: dict[str, tuple[int, int]] = {}
     for path, chars, links in tokens.loc[(tokens.token == 0) & (tokens.chars > 0), ["path", "chars", "links"]].itertuples(index=False):
         at = path
@@ -215,7 +270,7 @@ def page_text(blocks, root: str | None, texts: frozenset[int]) -> str:
     # in an article, or what is named as one, a text that many pages share is still the page's own
     step = (root or "").rsplit(">", 1)[-1]
     sure = step.split(".")[0] in ("article", "main") or MAIN_WORDS & {w.lower() for w in PART.findall(step.partition(".")[2])}
-    return "\n".join(text for node, text, _, _ in kept if sure or node.inside or not texts or text_token(container(node), text) not in texts)
+    return "\n".join(text for node, text, *_ in kept if sure or node.inside or not texts or text_token(container(node), text) not in texts)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -224,45 +279,73 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     base = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host.alias("host"))
     id_kind, url_kind = base.schema["page_id"].dataType.simpleString(), base.schema["url"].dataType.simpleString()
 
+    # copies of a page say nothing of a template: each distinct page of a host counts once
+    key = [F.xxhash64("html"), F.xxhash64(F.lit(17), "html", F.lit(29))]
+    distinct = base.filter((F.col("host") != "") & (F.col("html") != "")).select("host", "html", key[0].alias("h1"), key[1].alias("h2")).dropDuplicates(["host", "h1", "h2"]).select("host", "html", "h1")
+
     def tokens(batches):
         for batch in slices(batches, "html"):
             sums: dict[tuple, list] = {}
-            for h, page_id, page in zip(batch.column("host").to_pylist(), batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
-                if not page:
-                    continue
+            for h, number, page in zip(batch.column("host").to_pylist(), batch.column("h1").to_pylist(), batch.column("html").to_pylist()):
                 blocks, paths = read(page)
-                key = zlib.crc32(repr(page_id).encode()) * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
-                mine: dict[tuple, list] = {(h, "", 0): [1, 0, 0]} | {(h, p, 0): [n, 0, 0] for p, n in paths.items()}
-                for node, text, chars, links in blocks:
+                key = number & 0x7FFFFFFFFFFFFFFF
+                mine: dict[tuple, list] = {(h, "", 0): [1, 0, 0, 0]} | {(h, p, 0): [len(x), 0, 0, x[0]] for p, x in paths.items()}
+                for node, text, chars, links, place in blocks:
                     path = container(node)
-                    mine.setdefault((h, path, text_token(path, text)), [0, 0, 0])[0] += 1
+                    mine.setdefault((h, path, text_token(path, text)), [0, 0, 0, place])[0] += 1
                     if not node.aside:
-                        region = mine.setdefault((h, path, 0), [0, 0, 0])
+                        region = mine.setdefault((h, path, 0), [0, 0, 0, place])
                         region[1] += chars
                         region[2] += links
-                for k, (n, chars, links) in mine.items():
-                    s = sums.setdefault(k, [0, 0, 0, 0])
+                for k, (n, chars, links, place) in mine.items():
+                    s = sums.setdefault(k, [0, 0, 0, 0, 0])
                     s[0] += 1
                     s[1] = s[1] + key * n & 0xFFFFFFFFFFFFFFFF
                     s[2] += chars
                     s[3] += links
+                    s[4] += place
             keys, values = list(sums), list(sums.values())
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), *[pa.array(np.asarray([v[i] for v in values], np.uint64).astype(np.int64)) for i in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "token", "n_pages", "vector", "chars", "links"])
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), *[pa.array(np.asarray([v[i] for v in values], np.uint64).astype(np.int64)) for i in range(5)], pa.array([k[2] or text_token(k[1], "") for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "token", "n_pages", "vector", "chars", "links", "places", "member"])
 
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))
-    counted = base.filter(F.col("host") != "").select("page_id", "html", "host").mapInArrow(tokens, "host string, path string, token long, n_pages long, vector long, chars long, links long")
+    counted = distinct.mapInArrow(tokens, "host string, path string, token long, n_pages long, vector long, chars long, links long, places long, member long")
     # sums of vectors may pass 64 bits; equality of the exact sums is what counts
-    counted = counted.groupBy("host", "path", "token").agg(F.sum("n_pages").alias("n_pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    counted = counted.groupBy("host", "path", "token", "member").agg(F.sum("n_pages").alias("n_pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("places").alias("places"))
     counted = counted.filter((F.col("token") == 0) | (F.col("n_pages") >= LEAST_PAGES)).transform(stored, "page-tokens")
     totals = counted.filter((F.col("path") == "") & (F.col("token") == 0)).select("host", F.col("n_pages").alias("pages"))
     frequent = counted.filter("path <> ''").join(totals, "host").filter(F.col("n_pages") >= SUPPORT * F.col("pages"))
 
+    frequent = frequent.withColumn("vector", F.col("vector").cast("string"))
+
+    def host_classes(rows: pd.DataFrame) -> pd.DataFrame:
+        found = classes_of(rows, int(rows.pages.iloc[0]))
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "classes": [[rows.member[c].tolist() for c in found]]})
+
+    classes = stored(frequent.groupBy("host").applyInPandas(host_classes, "host string, classes array<array<long>>"), "classes")
+
+    def breaches(batches):
+        seen = set()
+        for batch in slices(batches, "html"):
+            out = []
+            for h, page, known in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("classes").to_pylist()):
+                blocks, paths = read(page)
+                places = {text_token(p, ""): x for p, x in paths.items()}
+                for node, text, _, _, place in blocks:
+                    path = container(node)
+                    places.setdefault(text_token(path, text), []).append(place)
+                out += [x for m in misplaced(places, known) if (x := (h, m)) not in seen]
+                seen.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["host", "member"])
+
+    bad = distinct.join(classes.filter(F.size("classes") > 0), "host").select("host", "html", "classes").mapInArrow(breaches, "host string, member long").distinct()
+    judged = frequent.join(bad.withColumn("bad", F.lit(True)), ["host", "member"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+
     def host_template(rows: pd.DataFrame) -> pd.DataFrame:
-        root, texts = deduce(rows.assign(vector=rows.vector.astype(str)), int(rows.pages.iloc[0]))
+        root, texts = deduce(rows, int(rows.pages.iloc[0]))
         return pd.DataFrame({"host": [rows.host.iloc[0]], "root": [root], "texts": [texts]})
 
-    templates = stored(frequent.groupBy("host").applyInPandas(host_template, "host string, root string, texts array<long>"), "templates")
+    templates = stored(judged.groupBy("host").applyInPandas(host_template, "host string, root string, texts array<long>"), "templates")
 
     def texts_of(batches):
         for batch in slices(batches, "html"):

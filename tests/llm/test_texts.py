@@ -177,6 +177,22 @@ def test_template_extraction(spark):
     assert template_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_template_texts_belong_to_classes(spark):
+    page = "<body><div class=top><p>site line</div><div class=wrap><p>%s</div><div class=end><p>last line</div></body>"
+    own = [f"page {i} says this and that about {i * 7} things of its own" for i in range(6)]
+    # a text of four pages of six shares its vector with nothing; copies of one page say nothing of a template
+    rows = [(i, f"http://h.example/{i}", page % (own[i] + "<p>a shared remark" * (i < 4))) for i in range(6)]
+    rows += [(10 + i, f"http://c.example/{i}", page % "one text copied") for i in range(4)] + [(20 + i, f"http://c.example/{i}", page % own[i]) for i in range(5)]
+    out = {r.page_id: r.text for r in template_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: own[i] + "\na shared remark" * (i < 4) for i in range(6)} | {10 + i: "one text copied" for i in range(4)} | {20 + i: own[i] for i in range(5)}
+
+
+def test_classes_are_ordered_and_nested():
+    assert template_extraction.misplaced({1: [1, 5], 2: [2, 6], 3: [3], 4: [4]}, [[1, 2], [3, 4]]) == set()
+    assert template_extraction.misplaced({1: [1, 6], 2: [2, 5], 3: [3, 7]}, [[1, 2, 3]]) == {2}
+    assert template_extraction.misplaced({1: [1], 2: [3], 3: [5], 4: [2], 5: [4]}, [[1, 2, 3], [4, 5]]) == {4, 5}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vectors = [(i, r.integers(-3, 4, 6).astype(float).tolist()) for i in range(300)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (7, [0.5] * 6)]
