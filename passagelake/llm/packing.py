@@ -27,7 +27,7 @@ from .pieces import encoder
 
 CAPACITY = 2048
 WINDOW = 2048  # remainders that wait at most
-LENGTHS = 48  # distinct lengths that one subset-sum looks at
+LENGTHS = 48  # distinct lengths that a first subset-sum looks at; all follow where it misses an exact fill
 
 
 def nearest_multiset(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -88,7 +88,10 @@ class Packer:
         if room:
             fit = sorted((x for x in self.waiting if x <= room), reverse=True)
             near = fit[:: max(1, -(-len(fit) // LENGTHS))]
-            for length, count in nearest_multiset({x: len(self.waiting[x]) for x in near}, room).items():
+            found = nearest_multiset({x: len(self.waiting[x]) for x in near}, room)
+            if len(near) < len(fit) and sum(x * n for x, n in found.items()) < room:
+                found = nearest_multiset({x: len(self.waiting[x]) for x in fit}, room)
+            for length, count in found.items():
                 taken += [self._pop(length) for _ in range(count)]
                 room -= length * count
         while room and self.n_waiting:

@@ -119,3 +119,12 @@ def test_packing(spark):
             got = [x for _, ids, _ in sorted(pieces[i]) for x in ids]
             assert got == ids_of(WORD, t) + [1] and all(n == len(got) for *_, n in pieces[i])
     assert packing.pack(docs(spark, []), WORD).count() == 0
+
+
+def test_packing_sees_every_waiting_length():
+    packer = packing.Packer(2048)
+    # 1001 = 301 + 300 + 400; without the one odd length no sum is odd
+    for doc, n in enumerate([1047, 301, *range(200, 402, 2)]):
+        packer.add(doc, np.zeros(n, np.uint32))
+    packer._fill()
+    assert sum(len(ids) for _, _, ids, *_ in packer.rows) == 2048 and all(len(ids) == total for _, _, ids, total, *_ in packer.rows)
