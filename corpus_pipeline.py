@@ -3,6 +3,12 @@
 Quality rules drop documents, the n-gram join keeps one document of each group of near copies (five words,
 similarity 0.8), strings of 200 bytes that still repeat are cut out, personal data gets surrogates, and what is
 left is packed. Every stage is written and read again, so a lost executor costs no more than its own stage.
+
+Defined cases: each row is a document of its own, whatever its doc_id. A null or empty text has no words and goes in
+the first stage. Of repeated rows and of copies, null ids among them, one row stays: the least non-null id, among
+equal ids the least text hash, then the first row. Ids may be null and repeat to the end. Columns beside doc_id and
+text, whatever their names, are kept up to packing; n_chars, where there is one, follows the text. An empty table
+gives no pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +21,10 @@ from passagelake.llm.common import stored, tokenizer_path
 from passagelake.shipping import ship
 
 
+#: For made-up corpora. Whoever runs this on real data sets a key of their own and keeps it secret.
+SURROGATE_KEY = "key of the example pipeline"
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else docs
 
@@ -32,7 +42,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(surrogates.replace_entities(docs))
+    return _recounted(surrogates.replace_entities(docs, SURROGATE_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
