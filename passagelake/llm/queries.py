@@ -9,6 +9,8 @@ from .common import shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+#: Of the registered query alone: whoever runs the operator on real data gives a key of their own and keeps it secret.
+SURROGATE_KEY = "key of the registered query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace_entities(docs, count_column="n_replaced")
+    return surrogates.replace_entities(docs, SURROGATE_KEY, count_column="n_replaced")
 
 
 def op4_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

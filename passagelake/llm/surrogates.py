@@ -1,18 +1,22 @@
 """Surrogate generation for personal data, in DataFrame functions alone.
 
-Entities are found by one alternation of patterns. An entity's normal form (letters in lower case, or digits
-without punctuation) and its type give, under a secret key, a surrogate of the same type: letters become letters
-of the same script and case, digits digits, an address stays a valid address, a card number that passes the Luhn
-check still passes it, a person's title stays and fixes the gender of the new given name. Punctuation and spacing
-are those of the mention, so mentions of one entity in several formats stay mentions of one entity.
-
-Distinctness: a job groups the distinct entities by (type, surrogate). Where several meet, or a surrogate equals
-a real entity, all but the smallest draw again, until none collide. Only those exceptions are joined back to
-their documents; all others follow from the key.
-
-Defined cases: a null text stays null and has 0 entities; rows with equal or null ids are each rewritten; an
-empty table gives an empty result; all columns are kept, with clashing names as they are; overlapping patterns
-are taken from left to right, the first kind in PATTERNS at each place.
+Entities are found by one alternation of patterns; persons are found behind a title. An entity consists of atoms: a
+person's are the parts of the name, any other entity is one. An atom's normal form (letters in lower case, or digits
+without punctuation) and its type give, under a secret key, a surrogate of the same type: letters become letters of
+the same script and case, digits digits, an address stays a valid address, a card number that passes the Luhn check
+still passes it, a person's title stays and fixes the gender of the new given name. Punctuation and spacing are those
+of the mention, so mentions of one entity in several formats stay mentions of one entity, and a surname is the same
+with and without the given name.
+
+Distinctness: a job groups the distinct atoms by (type, surrogate). Where several meet, or a surrogate equals a real
+atom, all but the smallest draw again, until none collide. From the attempt WIDER on each draw is longer by one unit
+(two letters, a digit; an address of four numbers becomes one of version 6), so the rounds end even if all surrogates
+of an atom's own length are real. Only those exceptions are joined back to their documents; all others follow from
+the key.
+
+Defined cases: a null text stays null and has 0 entities; rows with equal or null ids are each rewritten; an empty
+table gives an empty result; all columns are kept whatever their names (a column named as count_column is replaced);
+overlapping patterns are taken from left to right, the first kind in PATTERNS at each place.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"@|\d[\d.: ()-]{5}|[0-9a-fA-F]{16}|\b(?:AKIA[0-9A-Z]|[A-Z]{2}\d{2} ?[A-Z0-9]{4})|\b(?:sk|pk|ghp|gho|glpat|xox[abp])[-_]|\b(?i:" + FEMALE + "|" + MALE + r"|Dr|Prof)\.? "
 TITLE = r"^(?i:" + FEMALE + "|" + MALE + r"|Dr|Prof)\.? "
 HEX_DIGITS = 256
+WIDER = 4
 
 Surrogate = Callable[[Column, Column, Column], Column]
 
@@ -100,45 +105,60 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def atoms(kind: Column, norm: Column) -> Column:
+    """The entity's parts that get surrogates of their own: (kind, norm); a name's norm has the gender that its ending shows in front of a colon."""
+    gender, parts = F.substring(norm, 1, 1), F.split(F.substring(norm, F.lit(3), F.length(norm)), " ")
+    shows = lambda p, i: (i == 0) & (F.size(parts) > 1) & (gender != "n") & p.rlike("[a-z]$")
+    names = F.transform(parts, lambda p, i: F.struct(F.lit("name").alias("kind"), F.concat(F.when(shows(p, i), gender).otherwise(""), F.lit(":"), p).alias("norm")))
+    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+
+
+def visible(kind: Column, norm: Column) -> Column:
+    return F.when(kind == "name", F.regexp_replace(norm, "^[fm]?:", "")).otherwise(norm)
+
+
 def keyed(secret: str) -> Surrogate:
-    """(kind, normal form, attempt) -> the surrogate's normal form, of the same shape."""
+    """(an atom's kind, normal form, attempt) -> its surrogate, of the same shape; wider from the attempt WIDER on."""
 
     def make(kind: Column, norm: Column, attempt: Column) -> Column:
+        extra = F.greatest(attempt - (WIDER - 1), F.lit(0)).cast("int")
+
         def body(stream: Column) -> Column:
             mapped = lambda text: F.concat_ws("", F.transform(F.split(text, ""), lambda c, i: _letter(c, _number(stream, i))))
-            ip = F.concat_ws(".", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(stream, i) % 254 + 1).cast("string")))
+            padded = lambda text, unit: F.concat(text, F.repeat(unit, extra))
+            zeros = lambda text: padded(text, F.lit("0"))
+            ip4 = F.concat_ws(".", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(stream, i) % 254 + 1).cast("string")))
+            ip6 = F.concat(F.lit("2001:db8:"), F.concat_ws(":", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(stream, (i * 4 + 1).cast("int"), F.lit(4)))))
             domain_end = F.regexp_extract(norm, r"\.[^.]+$", 0)
-            email = F.concat(mapped(F.regexp_replace(norm, r"\.[^.]+$", "")), domain_end)
-            front = F.concat(F.substring(norm, 1, 1), mapped(F.substring(norm, F.lit(2), F.length(norm) - 2)))
+            email = F.concat(mapped(F.concat(F.repeat(F.lit("ba"), extra), F.regexp_replace(norm, r"\.[^.]+$", ""))), domain_end)
+            first, rest = F.substring(norm, 1, 1), F.substring(norm, F.lit(2), F.length(norm) - 1)
+            front = F.concat(first, mapped(zeros(F.substring(norm, F.lit(2), F.length(norm) - 2))))
             check = F.pmod(10 - luhn_sum(F.concat(front, F.lit("0"))), F.lit(10)).cast("string")
-            card = F.when(luhn_sum(norm) % 10 == 0, F.concat(front, check)).otherwise(F.concat(F.substring(norm, 1, 1), mapped(F.substring(norm, F.lit(2), F.length(norm) - 1))))
-            phone = F.concat(F.substring(norm, 1, 1), mapped(F.substring(norm, F.lit(2), F.length(norm) - 1)))
-            secret_text = F.when(norm.rlike("^[0-9a-fA-F]+$"), F.concat_ws("", F.transform(F.split(norm, ""), lambda c, i: F.substring(F.when(norm == F.upper(norm), F.upper(stream)).otherwise(stream), (F.pmod(i, F.lit(HEX_DIGITS)) + 1).cast("int"), F.lit(1))))).otherwise(mapped(norm))
-            parts = F.split(F.substring(norm, F.lit(3), F.length(norm) - 2), " ")
-            # each part of a name by itself and under its own key, so that "Ms A B" and "Ms B" still share B's surrogate
+            number = F.concat(first, mapped(zeros(rest)))
+            card = F.when(luhn_sum(norm) % 10 == 0, F.concat(front, check)).otherwise(number)
+            last = F.substring(norm, -1, 1)
+            secret_text = F.when(norm.rlike("^[0-9a-fA-F]+$"), F.concat_ws("", F.transform(F.split(padded(norm, last), ""), lambda c, i: F.substring(F.when(norm == F.upper(norm), F.upper(stream)).otherwise(stream), (F.pmod(i, F.lit(HEX_DIGITS)) + 1).cast("int"), F.lit(1))))).otherwise(mapped(padded(norm, last)))
+            part = visible(kind, norm)
+            # an ending shows the gender of a given name
             ending = F.when(norm.startswith("f:"), "a").when(norm.startswith("m:"), "o").otherwise("")
+            drawn = mapped(padded(part, F.when(part.rlike("[a-z]$"), "ba").otherwise(F.substring(part, -1, 1))))
+            name = F.when(ending != "", let(drawn, lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), ending))).otherwise(drawn)
+            iban = F.concat(F.substring(norm, 1, 2), mapped(padded(F.substring(norm, F.lit(3), F.length(norm) - 2), F.lit("0"))))
+            return F.when(kind == "name", name).when(kind == "ip", F.when(extra > 0, ip6).otherwise(ip4)).when(kind == "email", email).when(kind == "card", card).when(kind.isin("phone", "national_id"), number).when(kind == "secret", secret_text).otherwise(iban)
 
-            def name_part(p: Column, i: Column) -> Column:
-                own = _stream(secret, F.lit("name"), p, attempt)
-                new = let(own, lambda s: F.concat_ws("", F.transform(F.split(p, ""), lambda c, k: _letter(c, _number(s, k)))))
-                return F.when((i == 0) & (F.size(parts) > 1) & p.rlike("[a-z]$") & (ending != ""), let(new, lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), ending))).otherwise(new)
-
-            person = F.concat(F.substring(norm, 1, 2), F.concat_ws(" ", F.transform(parts, name_part)))
-            return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind.isin("phone", "national_id"), phone).when(kind == "secret", secret_text).when(kind == "person", person).otherwise(F.concat(F.substring(norm, 1, 2), mapped(F.substring(norm, F.lit(3), F.length(norm) - 2))))
-
-        return let(_stream(secret, kind, norm, attempt), body)
+        # a name's surrogate is drawn alike whatever gender its ending shows
+        return let(_stream(secret, kind, visible(kind, norm), attempt), body)
 
     return make
 
 
 def rendered(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's own format: its punctuation, its title, its case."""
-    digits = F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), lambda a, c: F.when(c.rlike("^[0-9A-Za-z]$"), F.struct(F.concat(a["t"], F.substring(surrogate, a["k"], F.lit(1))).alias("t"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["k"].alias("k"))), lambda a: a["t"])
+    """The surrogate (of a person: of the name) in the mention's own format: its punctuation, its title, its case."""
+    digits = F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), lambda a, c: F.when(c.rlike("^[0-9A-Za-z]$"), F.struct(F.concat(a["t"], F.substring(surrogate, a["k"], F.lit(1))).alias("t"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["k"].alias("k"))), lambda a: F.concat(a["t"], F.substring(surrogate, a["k"], F.length(surrogate))))
     cased = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
-    name = F.substring(surrogate, F.lit(3), F.length(surrogate) - 2)
     title = F.regexp_extract(mention, TITLE, 0)
     rest = F.regexp_replace(mention, TITLE, "")
-    person = F.concat(title, F.when(rest == F.upper(rest), F.upper(name)).otherwise(F.initcap(name)))
+    person = F.concat(title, F.when(rest == F.upper(rest), F.upper(surrogate)).otherwise(F.initcap(surrogate)))
     return F.when(kind.isin("card", "national_id", "phone"), digits).when(kind == "iban", F.upper(digits)).when(kind == "person", person).when(kind == "email", cased).otherwise(surrogate)
 
 
@@ -147,20 +167,20 @@ def mentions(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The distinct (kind, norm) of the table."""
-    found = docs.select(F.explode(mentions(F.col(text_column))).alias("mention")).distinct()
+    """The distinct atoms (kind, norm) of the table."""
+    found = docs.select(F.explode(mentions(F.col(f"`{text_column}`"))).alias("mention")).distinct()
     found = found.withColumn("kind", kind_of(F.col("mention")))
-    return found.select("kind", normal(F.col("mention"), F.col("kind")).alias("norm")).distinct()
+    return found.select(F.explode(atoms(F.col("kind"), normal(F.col("mention"), F.col("kind")))).alias("atom")).select("atom.*").distinct()
 
 
 def exceptions(found: DataFrame, make: Surrogate) -> DataFrame | None:
-    """(kind, norm, attempt) of the entities that must not use attempt 0; None if there are none. Rounds end when none collide."""
+    """(kind, norm, attempt) of the atoms that must not use attempt 0; None if there are none. Rounds end when none collide."""
     found = stored(found.withColumn("attempt", F.lit(0)), "entities")
     moved = False
     while True:
         drawn = found.withColumn("s", make(F.col("kind"), F.col("norm"), F.col("attempt")))
-        # the smallest entity keeps a surrogate; a real entity's normal form belongs to that entity alone
-        claims = drawn.select("kind", "s", "norm", F.lit(1).alias("drawn")).unionByName(found.select("kind", F.col("norm").alias("s"), "norm", F.lit(0).alias("drawn")))
+        # the smallest atom keeps a surrogate; what a real one looks like belongs to that one alone
+        claims = drawn.select("kind", "s", "norm", F.lit(1).alias("drawn")).unionByName(found.select("kind", visible(F.col("kind"), F.col("norm")).alias("s"), "norm", F.lit(0).alias("drawn")))
         owner = claims.groupBy("kind", "s").agg(F.min(F.struct("drawn", "norm")).alias("o"), F.count("*").alias("n")).filter("n > 1")
         losing = drawn.join(owner, ["kind", "s"]).filter((F.col("o.drawn") == 0) | (F.col("o.norm") != F.col("norm"))).select("kind", "norm", F.lit(1).alias("again"))
         losing = stored(losing, "collisions")
@@ -171,25 +191,30 @@ def exceptions(found: DataFrame, make: Surrogate) -> DataFrame | None:
     return found.filter("attempt > 0") if moved else None
 
 
-def replace_entities(docs: DataFrame, key: str = "passagelake", text_column: str = "text", count_column: str | None = None, make: Surrogate | None = None) -> DataFrame:
-    """docs with every entity's mentions replaced; count_column adds their number."""
+def replace_entities(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None, make: Surrogate | None = None) -> DataFrame:
+    """docs with every entity's mentions replaced, under the secret `key`; count_column adds their number."""
     make = make or keyed(key)
     special = exceptions(entities(docs, text_column), make)
-    text = F.col(text_column)
-    rows = docs
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the input meets one of the columns made here
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    text = F.col(own[text_column])
+    name_of = lambda kind, norm: F.concat_ws("\u0001", kind, norm)
     if special is not None:
         # only texts that mention an exception take part in this join; its size is that of the exceptions' mentions
-        hit = docs.select(F.xxhash64(text_column).alias("_key"), text.alias("_t")).filter(text.rlike(HINT)).distinct().withColumn("mention", F.explode(F.array_distinct(mentions(F.col("_t")))))
-        hit = hit.withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", normal(F.col("mention"), F.col("kind"))).join(special, ["kind", "norm"])
-        own = hit.groupBy("_key", "_t").agg(F.map_from_entries(F.collect_set(F.struct("mention", "attempt"))).alias("_attempts"))
-        rows = docs.withColumn("_h", F.xxhash64(text_column)).join(own, (F.col("_h") == F.col("_key")) & (text == F.col("_t")), "left")
-    attempt = (lambda m: F.coalesce(F.col("_attempts")[m], F.lit(0))) if special is not None else (lambda m: F.lit(0))
-    new = lambda m: let(kind_of(m), lambda k: let(make(k, normal(m, k), attempt(m)), lambda s: rendered(m, k, s)))
-    rows = rows.withColumn("_mentions", mentions(text))
+        prints = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text, F.lit(29)).alias("h2")]
+        hit = rows.filter(text.rlike(HINT)).select(*prints, F.explode(F.array_distinct(mentions(text))).alias("mention"))
+        hit = hit.withColumn("kind", kind_of(F.col("mention"))).select("h1", "h2", F.explode(atoms(F.col("kind"), normal(F.col("mention"), F.col("kind")))).alias("atom"))
+        hit = hit.select("h1", "h2", "atom.*").distinct().join(special, ["kind", "norm"])
+        attempts = hit.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct(name_of(F.col("kind"), F.col("norm")), "attempt"))).alias("attempts"))
+        rows = rows.select("*", *prints).join(attempts, ["h1", "h2"], "left")
+    attempt = (lambda k, n: F.coalesce(F.col("attempts")[name_of(k, n)], F.lit(0))) if special is not None else (lambda k, n: F.lit(0))
+    drawn = lambda k, m: F.concat_ws(" ", F.transform(atoms(k, normal(m, k)), lambda a: make(a["kind"], a["norm"], attempt(a["kind"], a["norm"]))))
+    new = lambda m: let(kind_of(m), lambda k: let(drawn(k, m), lambda s: rendered(m, k, s)))
+    rows = rows.withColumn("mentions", mentions(text))
     gaps = F.split(text, ANY, -1)
-    woven = F.concat_ws("", F.zip_with(gaps, F.transform("_mentions", new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))))
-    out = rows.withColumn(text_column, F.when(F.size("_mentions") > 0, woven).otherwise(text))
+    woven = F.concat_ws("", F.zip_with(gaps, F.transform("mentions", new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))))
+    made = {text_column: F.when(F.size("mentions") > 0, woven).otherwise(text)}
     if count_column:
-        out = out.withColumn(count_column, F.coalesce(F.size("_mentions"), F.lit(0)).cast("long"))
-    names = docs.columns + [count_column] * bool(count_column and count_column not in docs.columns)
-    return out.select(*[f"`{c}`" for c in names])
+        made[count_column] = F.coalesce(F.size("mentions"), F.lit(0)).cast("long")
+    names = [*docs.columns, *(c for c in made if c not in own)]
+    return rows.select(*[(made[c] if c in made else F.col(own[c])).alias(c) for c in names])

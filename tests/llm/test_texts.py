@@ -122,7 +122,7 @@ def test_rules_are_ordered_by_rejection_per_cost(spark):
 def test_surrogates(spark):
     rows = [(1, "Mail a.b@x.example.com or A.B@X.EXAMPLE.COM; call +1 (017) 555-7713 or +1 017 555 7713. Card 4111 1111 1111 1111, 4111111111111111."), (2, None), (3, ""), (4, "Mrs Maria Keller met Mr Keller and MR KELLER at 97.51.17.173; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" Frau Анна Иванова"), (5, "Version 2.0 of 4.0 on 2024-01-02, 12345 and 100 000 things"), (5, "again 97.51.17.173")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, kind int")
-    out = {(r.doc_id, k): r for k, r in enumerate(surrogates.replace_entities(df, count_column="n").collect())}
+    out = {(r.doc_id, k): r for k, r in enumerate(surrogates.replace_entities(df, "k", count_column="n").collect())}
     by = {i: [r.text for (j, _), r in out.items() if j == i] for i in range(1, 6)}
     assert by[2] == [None] and by[3] == [""] and rows[4][1] in by[5]
     for old in ("a.b@x", "555-7713", "4111", "Keller", "97.51.17", "04dbebab", "Анна"):
@@ -149,7 +149,7 @@ def test_every_entity_is_hinted(spark):
     assert alone.keys() == surrogates.PATTERNS.keys()
     rows = [(kind, m, f"key {m}, in use") for kind, ms in alone.items() for m in ms]
     df = spark.createDataFrame(rows, "kind string, mention string, text string")
-    out = surrogates.replace_entities(df, count_column="n").collect()
+    out = surrogates.replace_entities(df, "k", count_column="n").collect()
     assert [(r.mention, r.n) for r in out if r.n != 1 or r.mention in r.text] == [] and len(out) == len(rows)
 
 
@@ -157,11 +157,56 @@ def test_surrogates_stay_distinct(spark):
     addresses = [f"user{i}@mail.example.com" for i in range(40)]
     df = spark.createDataFrame([(i, f"to {a} and {addresses[0]}") for i, a in enumerate(addresses)], "doc_id long, text string")
     few = lambda kind, norm, attempt: F.concat(F.lit("s"), F.pmod(F.xxhash64(norm, attempt), F.when(attempt < 3, 10).otherwise(10_000)).cast("string"), F.lit("@x.org"))
-    out = surrogates.replace_entities(df, make=few).orderBy("doc_id").collect()
+    out = surrogates.replace_entities(df, "k", make=few).orderBy("doc_id").collect()
     new = [r.text.split(" ")[1] for r in out]
     assert len(set(new)) == 40 and {r.text.split(" ")[3] for r in out} == {new[0]}
 
 
+def test_surrogates_where_all_of_that_length_are_real(spark):
+    names = [f"{a}{b}" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    rows = [(i, f"Mr {n.title()} came. Mr Eva {n.title()} left; Ms Mia {n.title()} and Dr {n.title()}") for i, n in enumerate(names)]
+    out = [r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    found = [re.fullmatch(r"Mr (\w+) came\. Mr (\w+o) (\w+) left; Ms (\w+a) (\w+) and Dr (\w+)", t).groups() for t in out]
+    # one surname of its own in every mention of a document, and none that is real
+    assert all(len({f[0], f[2], f[4], f[5]}) == 1 for f in found) and len({f[0] for f in found}) == 105
+    assert not {f[0].lower() for f in found} & {*names, "eva", "mia"} and len({f[1] for f in found}) == len({f[3] for f in found}) == 1
+
+
+def test_surrogates_widen_in_every_kind(spark):
+    samples = [("email", "a@b.co"), ("ip", "1.2.3.4"), ("card", "4111111111111111"), ("card", "1234567890123"), ("national_id", "123456789"), ("phone", "+15551234"), ("iban", "gb82west"), ("secret", "ab" * 16), ("name", ":li"), ("name", "f:анна"), ("name", "m:al")]
+    df = spark.createDataFrame([(k, n.lstrip("+"), a) for k, n in samples for a in range(12)], "kind string, norm string, attempt int")
+    rows = df.withColumn("s", surrogates.keyed("k")(F.col("kind"), F.col("norm"), F.col("attempt"))).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.kind, r.norm].append((r.attempt, r.s))
+    for (kind, _), drawn in by.items():
+        lengths = [len(s) for _, s in sorted(drawn)]
+        assert len(set(lengths[: surrogates.WIDER])) == 1 or kind == "ip"
+        assert len({s for a, s in drawn if a >= surrogates.WIDER}) == 12 - surrogates.WIDER
+        assert kind == "ip" or lengths[surrogates.WIDER] > lengths[0] and lengths[11] > lengths[surrogates.WIDER]
+
+
+def test_surrogates_are_distinct_and_keep_columns(spark):
+    r = random.Random(4)
+    entity = lambda: r.choice([f"Ms {r.choice(['Li', 'Wu', 'Xu'])}", f"{r.choice('ab')}{r.choice('cd')}@{r.choice('ef')}.co", f"{r.randrange(1, 3)}.{r.randrange(1, 3)}.3.4", f"Herr Jo {r.choice(['Li', 'Ha', 'Wu'])}"])
+    rows = [(i if i % 9 else None, *(f"x{k}" for k in range(6)), " | ".join(entity() for _ in range(4))) for i in range(60)] + [(3, *"abcdef", None), (3, *"abcdef", "")]
+    names = ["doc_id", "_mentions", "_h", "_attempts", "mentions", "h1", "c0", "text"]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{c}` string" for c in names[1:])).coalesce(1)
+    out = surrogates.replace_entities(df, "k").collect()
+    assert df.columns == list(out[0].__fields__) and [tuple(x)[:7] for x in out] == [x[:7] for x in rows]
+    seen = collections.defaultdict(set)
+    for x, old in zip(out, rows):
+        for a, b in zip((old[-1] or "").split(" | "), (x.text or "").split(" | ")):
+            seen[a].add(b)
+    assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
+    assert not {v for k, vs in seen.items() if k for v in vs} & set(seen)
+    assert {next(iter(seen[f"Herr Jo {n}"])).split()[-1] for n in ("Li", "Wu")} == {next(iter(seen[f"Ms {n}"])).split()[-1] for n in ("Li", "Wu")}
+    none = surrogates.replace_entities(df.limit(0), "k", count_column="n")
+    assert none.count() == 0 and none.columns == [*names, "n"]
+    long = spark.createDataFrame([(1, "word " * 400_000 + "a@b.org")], "doc_id long, text string")
+    assert surrogates.replace_entities(long, "k", count_column="n").first().n == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</script></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
 <nav class=menu><a href=/>Home</a></nav><div class="wrap"><div class="post-content"><h2>Title &amp; more %s</h2><p>One   two<br>three &lt;%s&gt;.<ul><li>a<li>b</ul><form><input><label>x</label></form></div>
 <div class="comments"><p>nice</p></div><div class="sidebar">side</div></div><!-- <p>no</p> --><footer>f</footer></body></html>"""
