@@ -15,7 +15,8 @@ a page over SUPPORT. Templates join the pages by host; Spark broadcasts them onl
 splits hot hosts in the shuffle otherwise.
 
 Defined cases: a null or empty html gives the empty text; a null or odd url has no host, its page is judged by itself;
-repeated rows are each extracted; an empty table gives an empty result; extra columns are ignored. Blocks are joined
+repeated rows are each extracted; a page is read in time linear in its length, however broken or deep it is, and elements
+below a path of PATH characters share it; an empty table gives an empty result; extra columns are ignored. Blocks are joined
 by a line feed, white space inside a block becomes one space, character references are decoded.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,14 @@ TEMPLATE = 0.5
 LEAST_PAGES = 3  # a host with fewer distinct pages shows no template
 LARGE = 2  # a token alone with its vector is data, not template
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[!/?a-zA-Z][^<>]*\Z", re.S | re.I)
+#: A tag as it should be, found without going back; `<` and `>` within quotes are left to LOOSE.
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^'\"<>]++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+OPENED = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)")
+LOOSE = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+LOOSE_MISSES = 4  # so often a page's end is looked for behind an unclosed quote; then quotes no longer count
+RAW = frozenset("script style noscript template iframe svg textarea select title object math canvas".split())
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+PATH = 4000  # an element below a path of so many characters shares it
 NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +56,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog head select option label fieldset".split())
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus dialog feedback footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promos promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar widget widgets alert".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
+BOUNDS = frozenset("article main nav footer aside body table".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 
@@ -57,11 +67,15 @@ def named(attributes: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "aside", "inside", "link")
+    __slots__ = ("tag", "path", "aside", "inside", "link", "block", "bound")
 
-    def __init__(self, tag: str, names: str, parent: "Node | None"):
+    def __init__(self, tag: str, names: str, parent: "Node | None", depth: int = 0):
         self.tag = tag
-        self.path = f"{parent.path if parent else ''}>{tag}{'.' * bool(names)}{names}"
+        above = parent.path if parent else ""
+        self.path = f"{above}>{tag}{'.' * bool(names)}{names}" if len(above) < PATH else above
+        # depths of the nearest block and of the nearest element that an inline end tag does not leave
+        self.block = depth if tag in BLOCKS else parent.block if parent else 0
+        self.bound = depth if tag in BOUNDS else parent.bound if parent else 0
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         words = {w.lower() for n in names.split(".") for w in PART.findall(n)} if names else ()
         apart = tag in ASIDE_TAGS or (tag == "header" and not self.inside) or (tag not in ("html", "body", "article", "main") and any(w in ASIDE_WORDS for w in words))
@@ -69,10 +83,58 @@ class Node:
         self.link = tag == "a" or bool(parent and parent.link)
 
 
+def markup(page: str):
+    """(text, closing, tag, attributes): each tag with the text before it, the rest at last with no tag; in time linear in the page.
+
+    Comments and raw elements (scripts and the like) are left out, sections of character data are text. An unclosed
+    comment or raw element goes to the page's end. A tag whose quote is never closed ends at the next `>`; where
+    there is none, it is dropped up to the next `<`."""
+    at, look, misses, last = 0, 0, 0, page.rfind(">")
+    while (i := page.find("<", look)) >= 0:
+        m = TAG.match(page, i)
+        if m:
+            end, closing, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
+        elif m := OPENED.match(page, i):
+            closing, tag, close = m[1], m[2].lower(), None
+            if i > last:
+                yield page[at:i], "", "", ""
+                following = page.find("<", i + 1)
+                at = look = len(page) if following < 0 else following
+                continue
+            if misses < LOOSE_MISSES:
+                close = LOOSE.match(page, m.end())
+                misses += close is None
+            stop = close.end() - 1 if close else page.find(">", m.end())
+            end, attributes = stop + 1, page[m.end() : stop]
+        elif page.startswith("<!--", i):
+            stop = page.find("-->", i + 4)
+            yield page[at:i], "", "", ""
+            at = look = len(page) if stop < 0 else stop + 3
+            continue
+        elif page.startswith("<![CDATA[", i):
+            stop = page.find("]]>", i + 9)
+            yield page[at:i] + entities.escape(page[i + 9 : len(page) if stop < 0 else stop], quote=False), "", "", ""
+            at = look = len(page) if stop < 0 else stop + 3
+            continue
+        elif page[i + 1 : i + 2] in ("!", "?", "/") and i < last:
+            yield page[at:i], "", "", ""
+            at = look = page.find(">", i) + 1
+            continue
+        else:
+            look = i + 1
+            continue
+        if tag in RAW and not closing:
+            found = RAW_END[tag].search(page, end)
+            end, tag = found.end() if found else len(page), ""
+        yield page[at:i], closing, tag, attributes
+        at = look = end
+    yield page[at:], "", "", ""
+
+
 def read(page: str) -> tuple[list[tuple[Node, str, int, int, int]], dict[str, list[int]]]:
     """The page's blocks in order, (element, text, characters, of them in links, place), and the places of each element's path."""
     root = Node("", "", None)
-    stack, blocks, paths, pieces, linked, at = [root], [], {}, [], 0, 0
+    stack, opens, blocks, paths, pieces, linked = [root], {}, [], {}, [], 0
     holder, place, begun = root, 0, 0
 
     def close() -> None:
@@ -94,60 +156,59 @@ def read(page: str) -> tuple[list[tuple[Node, str, int, int, int]], dict[str, li
         if stack[-1].link:
             linked += len(text.strip())
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            said(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            said(entities.escape(m[1], quote=False))
-            continue
-        if not m[4]:
+    def leave(depth: int) -> None:
+        for node in reversed(stack[depth:]):
+            opens[node.tag].pop()
+        del stack[depth:]
+
+    for text, closing, tag, attributes in markup(page):
+        if text:
+            said(text)
+        if not tag:
             continue
-        tag = m[4].lower()
+        top = stack[-1]
         if tag in BLOCKS:
             close()
         elif tag == "br":
             said(" ")
-        if m[3]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if stack[-1].aside != stack[i - 1].aside:
-                        close()
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "nav", "footer", "aside", "body", "table") and tag not in BLOCKS:
-                    break
+        if closing:
+            depths = opens.get(tag)
+            if depths and (tag in BLOCKS or depths[-1] >= top.bound):
+                if top.aside != stack[depths[-1] - 1].aside:
+                    close()
+                leave(depths[-1])
             continue
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in CLOSES.get(tag, "").split():
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+        if tag in BLOCKS and top.block:
+            nearest = stack[top.block].tag
+            if nearest == "p" or nearest in CLOSES.get(tag, "").split():
+                leave(top.block)
         if tag in VOID:
             continue
-        node = Node(tag, named(m[5]) if "=" in m[5] else "", stack[-1])
+        node = Node(tag, named(attributes) if "=" in attributes else "", stack[-1], len(stack))
         if node.aside != stack[-1].aside:
             close()
-        if not m[5].endswith("/") or tag in BLOCKS:
+        if not attributes.endswith("/") or tag in BLOCKS:
+            opens.setdefault(tag, []).append(len(stack))
             stack.append(node)
         place += 1
         paths.setdefault(node.path, []).append(place)
-    if at < len(page):
-        said(page[at:])
     close()
     return blocks, paths
 
 
-def container(node: Node) -> str:
-    """The path of the region that holds a block: without the block's own paragraph, list item or inline elements."""
-    steps = node.path.split(">")
+@lru_cache(maxsize=4096)
+def region(path: str) -> str:
+    steps = path.split(">")
     while len(steps) > 2 and steps[-1].split(".")[0] not in ("article", "main", "section", "div", "td", "body", "html", "nav", "footer", "header", "aside"):
         steps.pop()
     return ">".join(steps)
 
 
+def container(node: Node) -> str:
+    """The path of the region that holds a block: without the block's own paragraph, list item or inline elements."""
+    return region(node.path)
+
+
 def under(path: str, root: str) -> bool:
     return path == root or path.startswith(root + ">")
 

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -222,6 +223,26 @@ def test_template_extraction(spark):
     assert template_extraction.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, blocks", [("<a b " * 200_000, []), ("<div>" * 200_000 + "x", ["x"]), ("<!--" * 50_000, []), ("<script a " * 50_000, []), ("<div>x" * 4000, ["x"] * 4000), ("<a '<a \"' \"<a '\" " * 50_000, None), ("<b><body>" + "<div>" * 50_000 + "</b>" * 50_000 + "x", ["x"]), ("a <b title='x>y'>c</b> 1 < 2 <![CDATA[<d>]]> <p class=\"e>f</p><br>g", ["a c 1 < 2 <d>", "f", "g"]), ("x <y and z <p>w", ["x w"])])
+def test_broken_and_deep_pages_are_read_in_linear_time(page, blocks):
+    began = time.perf_counter()
+    found = template_extraction.read(page)[0]
+    template_extraction.page_text(found, None, frozenset())
+    assert time.perf_counter() - began < 10 and (blocks is None or [text for _, text, *_ in found] == blocks)
+
+
+def test_template_decides_where_names_say_nothing(spark):
+    # unnamed elements, a menu and an imprint longer than the text: only what pages share tells them apart
+    menu, imprint = "<div><div>About this house of ours and of all its many rooms</div><div>Where to find and how to reach us on any day</div></div>", "<div><span>Printed and bound with care by the makers of this and of other houses, all of whom are named elsewhere</span></div>"
+    own = [f"page {i} tells of the {i * 7} things" for i in range(6)]
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<div><p>{own[i]}</div>{imprint}</body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in template_extraction.extract(df).collect()} == dict(enumerate(own))
+    # the same pages, each of a host of its own, have no template
+    alone = df.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".example/")))
+    assert all(r.text != own[r.page_id] for r in template_extraction.extract(alone).collect())
+
+
 def test_template_texts_belong_to_classes(spark):
     page = "<body><div class=top><p>site line</div><div class=wrap><p>%s</div><div class=end><p>last line</div></body>"
     own = [f"page {i} says this and that about {i * 7} things of its own" for i in range(6)]
