@@ -273,12 +273,28 @@ def test_top_k(spark):
                 best = sorted((-int(qv @ v), i) for i, v in rows if i != q)[:5]
                 assert out[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert threshold_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    # repeated ids are queries of their own; vectors of another length are no candidates; one vector may repeat
+    rows = [(50, [1, 0]), (50, [0, 1]), (50, [1, 0, 0])] + [(i, [i % 7, -i % 5]) for i in range(30)] + [(60 + i, [3, 3]) for i in range(40)] + [(200, [2, 2, 2])]
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    for block in (8, 8192):
+        got = threshold_topk.top_k(odd, odd.filter("vec_id IN (50, 0)"), 5, block, with_scored=True).collect()
+        want = []
+        for i, v in rows:
+            if i in (50, 0):
+                best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != i and len(w) == len(v))[:5]
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert sorted(tuple(x)[:4] for x in got) == sorted(want) and all(x.n_scored <= len(rows) for x in got)
+    assert threshold_topk.top_k(odd.filter("vec_id < 0"), odd).count() == 0 == threshold_topk.top_k(odd, odd.filter("vec_id < 0")).count()
 
 
 def test_threshold_stops_early():
     r = np.random.default_rng(0)
     lists = threshold_topk.SortedLists(np.arange(5000), r.integers(0, 256, (5000, 2)))
-    assert lists.top(-1, np.asarray([250, 3]), 5)[2] < 2500
+    query = np.asarray([250, 3])
+    ids, scores, met = lists.top(-1, query, 5)
+    assert met < 2500 and lists.top(-1, query, 5, floor=int(scores[0]) + 100_000)[2] == 0
+    again = lists.top(-1, query, 5, floor=int(scores[2]))
+    assert again[0].tolist() == ids[scores >= scores[2]].tolist() and again[2] <= met
 
 
 def test_parity_bitmaps_lose_no_link():
