@@ -1,9 +1,11 @@
 """Token ids in a file format compressed by Re-Pair.
 
 Ids are written in ascending order of document id, in shards. Within a shard frequent pairs of neighbouring
-symbols are replaced by new symbols, round after round: each round counts the pairs of the commonest symbols,
-makes rules of those that occur often, and replaces them from left to right without overlap. A shard's file
-holds the rules, how many ids each symbol stands for, a sampled index from symbols to ids, and the remaining
+symbols are replaced by new symbols, round after round, until no pair occurs LEAST times: a rule takes 12 bytes of the
+file and saves a symbol of two bytes or four at each of its places, so rarer pairs do not pay. A round counts all
+pairs at once; where frequent pairs overlap the commoner one goes first, as if the commonest were replaced one after
+another. A pair that was rare once stays rare, so later rounds look only at what the last one left or made. A
+shard's file holds the rules, how many ids each symbol stands for, a sampled index from symbols to ids, and the remaining
 symbols; ids_at() decodes any range of ids from it without expanding the rest.
 
 The shards are rows of a Parquet table of binary payloads, so any store that Spark writes to can hold them and
@@ -25,68 +27,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filled, shared_dir, slices
-from .pieces import encoder
+from .pieces import encoder, releasing
 
 MAGIC = b"RPID1\0\0\0"
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 512
-LEAST_PAIRS = 24
+LEAST = 8
 SAMPLE = 256
 _HEAD = struct.Struct("<8sQQQQQQ")
-_TOP = 1023  # commonest symbols whose pairs are counted
+_SALTS = np.random.default_rng(20240607).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k replaces its pair (left, right) by the symbol first_rule + k."""
-    symbols, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
+def compress(ids: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k replaces its pair (left, right) by the symbol first_rule + k. No pair is left that stands `least` times without overlap."""
+    symbols, rules, made, salt = ids.astype(np.uint32), [], 0, 0
+    live = np.ones(max(0, len(symbols) - 1), bool)  # places whose pair may still be frequent
+    while True:
+        at = np.flatnonzero(live)
+        if len(at) < least:
             break
-        counts = np.bincount(symbols)
-        top = np.argsort(counts, kind="stable")[::-1][:_TOP]
-        dense = np.full(len(counts), _TOP, np.int32)
-        dense[top] = np.arange(len(top))
-        coded = dense[symbols]
-        pairs = coded[:-1] * np.int32(1024)
-        pairs += coded[1:]
-        often = np.bincount(pairs, minlength=1 << 20)
-        often.reshape(1024, 1024)[_TOP, :] = 0
-        often.reshape(1024, 1024)[:, _TOP] = 0
-        chosen = np.argsort(often, kind="stable")[::-1][:rules_a_round]
-        chosen = chosen[often[chosen] >= least]
-        if not len(chosen):
-            break
-        number = np.zeros(1 << 20, np.uint32)
-        number[chosen] = first_rule + len(rules) + np.arange(len(chosen))
-        rules += [(int(top[c >> 10]), int(top[c & 1023])) for c in chosen]
-        new = number[pairs]
-        at = np.flatnonzero(new)
-        # of pairs that overlap in a run, every second one is replaced
-        begins = np.concatenate([[True], np.diff(at) > 1])
-        at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
-        symbols[at] = new[at]
+        code = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        bits = max(10, len(at).bit_length())
+        slot = (code * _SALTS[salt % len(_SALTS)] >> np.uint64(64 - bits)).astype(np.int64)
+        salt += 1
+        # pairs share slots, so a slot's count is a bound
+        often = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        live[at[~often]] = False
+        at, code, slot = at[often], code[often], slot[often]
+        # of pairs that overlap in a run of one symbol every second one counts
+        twins = np.flatnonzero(code >> np.uint64(32) == code & np.uint64(0xFFFFFFFF))
+        counts = np.ones(len(at), bool)
+        if len(twins):
+            place = at[twins]
+            begins = np.concatenate([[True], np.diff(place) > 1])
+            counts[twins] = (place - place[begins][np.cumsum(begins) - 1]) % 2 == 0
+        pair = np.zeros(1 << bits, np.uint64)
+        pair[slot] = code
+        alone = pair[slot] == code  # the others wait for another salt
+        n = np.bincount(slot[alone & counts], minlength=1 << bits)[slot]
+        live[at[alone & (n < least)]] = False
+        ready = alone & counts & (n >= least)
+        if not ready.any():
+            waiting = np.unique(code[~alone & counts], return_counts=True)[1]
+            if waiting.max(initial=0) < least:
+                break
+            continue
+        at, code, slot, n = at[ready], code[ready], slot[ready], n[ready].astype(np.uint64)
+        rank = n << np.uint64(32) | code * _SALTS[0] >> np.uint64(32)
+        near = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(near & (rank[1:] <= rank[:-1]))
+        wins[:-1] &= ~(near & (rank[:-1] < rank[1:]))
+        at, slot = at[wins], slot[wins]
+        chosen = np.flatnonzero(np.bincount(slot, minlength=1 << bits) >= least)
+        number = np.zeros(1 << bits, np.uint32)
+        number[chosen] = first_rule + made + np.arange(len(chosen))
+        rules.append(pair[chosen])
+        made += len(chosen)
+        new = number[slot]
+        at, new = at[new > 0], new[new > 0]
+        symbols[at] = new
+        # pairs with a new symbol are looked at anew
+        live[np.maximum(at - 1, 0)] = True
+        live[at[at + 1 < len(live)] + 1] = True
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols = symbols[stay]
-    return symbols, np.asarray(rules, np.uint32).reshape(-1, 2)
-
-
-def expansions(rules: np.ndarray, first_rule: int) -> list[np.ndarray]:
-    """The ids that each rule stands for."""
-    out: list[np.ndarray] = []
-    for pair in rules:
-        out.append(np.concatenate([out[s - first_rule] if s >= first_rule else np.asarray([s], np.uint32) for s in map(int, pair)]))
-    return out
+        live = np.concatenate([live, [False]])
+        live[at] = True
+        live = live[stay][:-1]
+    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return symbols, np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+
+
+class Grammar:
+    """Rules, opened: how many ids each symbol stands for, and which."""
+
+    def __init__(self, rules: np.ndarray, first_rule: int):
+        symbols = rules.astype(np.int64)
+        self.widths = np.ones(first_rule + len(rules), np.int64)
+        latest, levels, done = symbols.max(axis=1, initial=0) - first_rule, [], 0
+        while done < len(rules):  # rules made of symbols before `done`
+            waits = np.flatnonzero(latest[done:] >= done)
+            stop = done + int(waits[0]) if len(waits) else len(rules)
+            self.widths[first_rule + done : first_rule + stop] = self.widths[symbols[done:stop]].sum(axis=1)
+            levels.append((done, stop))
+            done = stop
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.arena = np.empty(int(self.widths.sum()), np.uint32)
+        self.arena[:first_rule] = np.arange(first_rule, dtype=np.uint32)
+        for a, b in levels:
+            ids = self.expand(symbols[a:b].ravel())
+            at = self.starts[first_rule + a]
+            self.arena[at : at + len(ids)] = ids
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        widths = self.widths[symbols]
+        source = np.repeat(self.starts[symbols] - (np.cumsum(widths) - widths), widths)
+        source += np.arange(len(source))
+        return self.arena[source]
 
 
 def pack_shard(ids: np.ndarray, first_rule: int) -> bytes:
     symbols, rules = compress(ids, first_rule)
-    lengths = np.asarray([len(x) for x in expansions(rules, first_rule)], np.uint32)
-    widths = np.ones(len(symbols), np.int64)
-    ruled = symbols >= first_rule
-    widths[ruled] = lengths[symbols[ruled] - first_rule]
-    index = (np.cumsum(widths) - widths)[::SAMPLE].astype("<u4")
+    widths = Grammar(rules, first_rule).widths
+    lengths, of_symbols = widths[first_rule:], widths[symbols]
+    index = (np.cumsum(of_symbols) - of_symbols)[::SAMPLE].astype("<u4")
     kind = "<u2" if first_rule + len(rules) <= 1 << 16 else "<u4"
     head = _HEAD.pack(MAGIC, len(ids), len(symbols), len(rules), first_rule, len(index), np.dtype(kind).itemsize)
     return head + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + index.tobytes() + symbols.astype(kind).tobytes()
@@ -109,20 +154,10 @@ class Shard:
 
         rules, self.lengths, self.index = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules), take("<u4", n_index)
         self.symbols = take(f"<u{width}", n_symbols)
-        parts = expansions(rules, self.first)
-        self.arena = np.concatenate([np.arange(self.first, dtype=np.uint32), *parts])
-        self.starts = np.concatenate([np.arange(self.first), self.first + np.cumsum(self.lengths, dtype=np.int64) - self.lengths])
-        self.widths = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        widths = self.widths[symbols]
-        ends = np.cumsum(widths)
-        source = np.repeat(self.starts[symbols] - (ends - widths), widths)
-        source += np.arange(len(source))
-        return self.arena[source]
+        self.grammar = Grammar(rules, self.first)
 
     def ids(self) -> np.ndarray:
-        return self._expand(self.symbols) if self.n else np.zeros(0, np.uint32)
+        return self.grammar.expand(self.symbols) if self.n else np.zeros(0, np.uint32)
 
     def ids_at(self, start: int, count: int) -> np.ndarray:
         """ids[start:start+count], decoding only the symbols around them."""
@@ -131,7 +166,7 @@ class Shard:
             return np.zeros(0, np.uint32)
         block = int(np.searchsorted(self.index, start, "right")) - 1
         last = int(np.searchsorted(self.index, start + count, "left"))
-        found = self._expand(self.symbols[block * SAMPLE : last * SAMPLE])
+        found = self.grammar.expand(self.symbols[block * SAMPLE : last * SAMPLE])
         return found[start - int(self.index[block]) :][:count]
 
 
@@ -164,7 +199,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, shard_ids:
             yield flush()
 
     ordered = docs.select(id_column, text_column).repartitionByRange(id_column).sortWithinPartitions(F.col(id_column).asc_nulls_first(), F.xxhash64(text_column))
-    ordered.mapInArrow(run, f"part int, shard int, start long, n_ids long, docs array<{kind}>, lengths array<long>, payload binary").write.parquet(out)
+    ordered.mapInArrow(releasing(path, run), f"part int, shard int, start long, n_ids long, docs array<{kind}>, lengths array<long>, payload binary").write.parquet(out)
 
 
 def read_ids(spark, out: str) -> DataFrame:

@@ -128,3 +128,33 @@ def test_packing_sees_every_waiting_length():
         packer.add(doc, np.zeros(n, np.uint32))
     packer._fill()
     assert sum(len(ids) for _, _, ids, *_ in packer.rows) == 2048 and all(len(ids) == total for _, _, ids, total, *_ in packer.rows)
+
+
+def apart(symbols):
+    """How often each pair of neighbours stands without overlap."""
+    count, last = collections.Counter(), {}
+    for i, p in enumerate(zip(symbols, symbols[1:])):
+        if last.get(p) != i - 1:
+            count[p] += 1
+            last[p] = i
+    return count
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=120), st.lists(st.integers(0, 3), max_size=30), st.integers(2, 9))
+def test_grammar_leaves_no_repeated_pair(front, phrase, times):
+    ids = np.asarray(front + phrase * times + [4] * times * 5, np.uint32)
+    for least in (2, 4):
+        symbols, rules = repair_store.compress(ids, 5, least)
+        assert max(apart(symbols.tolist()).values(), default=0) < least
+        assert repair_store.Grammar(rules, 5).expand(symbols.astype(np.int64)).tolist() == ids.tolist()
+
+
+def test_grammar_sees_all_symbols():
+    r = np.random.default_rng(3)
+    phrase = r.integers(0, 40_000, 500).astype(np.uint32)
+    ids = np.concatenate([np.concatenate([phrase, r.integers(0, 40_000, 20).astype(np.uint32)]) for _ in range(40)])
+    symbols, rules = repair_store.compress(ids, 40_000)
+    # one symbol stands for the phrase in each of its places
+    assert repair_store.Grammar(rules, 40_000).widths.max() >= 500 and len(symbols) <= 40 * 21
+    assert max(apart(symbols.tolist()).values()) < repair_store.LEAST
