@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import filled, mixed, prefix_hash, slices, window_hash
-from .pieces import encoder, library
+from .pieces import encoder, library, releasing
 
 WIDTH = 32
 MASK_BITS = 11  # chunks of 2 KiB on average
@@ -140,6 +140,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, id_column: str = "
             else:
                 columns += [pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "a", "b"])
+        chunks.kept, chunks.size = {}, 0  # the worker outlives the task
 
-    found = docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, " + ("a string, b string" if digests else "a array<int>, b string"))
+    found = docs.select(id_column, text_column).mapInArrow(releasing(path, run), f"`{id_column}` {kind}, n_tokens long, " + ("a string, b string" if digests else "a array<int>, b string"))
     return found.withColumnsRenamed({"a": "ids_sha256", "b": "decoded_sha256"} if digests else {"a": "ids", "b": "decoded"})

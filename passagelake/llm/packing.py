@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import filled, slices
-from .pieces import encoder
+from .pieces import encoder, releasing
 
 CAPACITY = 2048
 WINDOW = 2048  # remainders that wait at most
@@ -158,4 +158,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
             yield out()
 
     schema = f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, text_column).mapInArrow(releasing(path, run), schema)

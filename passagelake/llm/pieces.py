@@ -16,8 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces that a worker keeps; then it starts anew.
-MAX_PIECES = 1_000_000
+#: Bytes of distinct pieces and their ids that a worker holds while a task runs, and between tasks. What was met
+#: first stays, as that is what is common; the rest is encoded anew when it is met again.
+HELD_BYTES = 64 << 20
+IDLE_BYTES = 16 << 20
+#: Bytes that a piece takes besides its characters: the string's head, its place in the table, its number, its ids.
+PIECE_BYTES = 190
 
 #: What the word file's splitter keeps, as its JSON states it (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,6 +47,18 @@ def encoder(path: str) -> "PieceEncoder":
     return PieceEncoder(path)
 
 
+def releasing(path: str, run):
+    """run (batches to batches), whose worker lets go of most of its pieces when a task ends: workers outlive their stage."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            encoder(path).release()
+
+    return task
+
+
 def bytes_as_characters() -> dict[int, str]:
     """The printable character that byte-level files write for each byte: itself where printable, else the next free one from U+0100."""
     printable = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
@@ -113,7 +129,22 @@ class PieceEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.arena = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
+
+    def release(self, most: int = IDLE_BYTES) -> None:
+        """Cuts the table back to its first pieces, of about `most` bytes; to be called when a task ends."""
+        if self.held <= most:
+            return
+        sizes = np.full(self.size, PIECE_BYTES)
+        for table in (self.index, self.leads):
+            sizes[np.fromiter(table.values(), np.int64, len(table))] += np.fromiter(map(len, table), np.int64, len(table))
+        sums = np.cumsum(sizes)
+        stays = int(np.searchsorted(sums, most))
+        self.index, self.leads = ({w: n for w, n in table.items() if n < stays} for table in (self.index, self.leads))
+        self.size, self.held = stays, int(sums[stays - 1]) if stays else 0
+        self.used = int((self.starts[:stays] + self.lengths[:stays]).max(initial=0))
+        self.arena = np.concatenate([self.arena[: self.used], np.zeros(max(1 << 16, self.used), np.uint32)])
+        self.starts, self.lengths, self.odd = (np.concatenate([x[:stays], np.zeros(max(1 << 12, stays), x.dtype)]) for x in (self.starts, self.lengths, self.odd))
 
     def _is_fast(self, piece: str) -> bool:
         return (piece.isascii() or self.plain(piece) is not None) and "<|" not in piece and WORD_END not in piece
@@ -142,6 +173,7 @@ class PieceEncoder:
             self.starts, self.lengths, self.odd = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lengths, self.odd))
         self.arena[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.held += PIECE_BYTES * len(pieces) + sum(map(len, pieces))
         self.starts[numbers], self.lengths[numbers], self.odd[numbers] = starts, lengths, odd
         return numbers
 
@@ -170,8 +202,8 @@ class PieceEncoder:
         coded = parts.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         strange = np.zeros(n, bool)
-        if len(self.index) + len(self.leads) > MAX_PIECES:
-            self._reset()
+        if self.held > HELD_BYTES:
+            self.release()
         at = self._rows(self.index, words, False)[codes]
         if self.keeps_space:
             firsts = offsets[:-1]

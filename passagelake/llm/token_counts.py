@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import filled, slices
-from .pieces import encoder, library
+from .pieces import encoder, library, releasing
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
@@ -83,4 +83,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
                 counts[i] = spliced_count(texts[int(i)].as_py(), offsets, chunk, overlap)[0]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(raw), pa.array(counts), pa.array(counts > limit)], names=[id_column, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_column, text_column).mapInArrow(count, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_column, text_column).mapInArrow(releasing(path, count), f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
