@@ -73,6 +73,14 @@ def provider_of(model: str, cache: str | None = None):
     return OnnxProvider(str(Path(cache or Path.home() / ".cache/passagelake") / model.replace("/", "--")), model)
 
 
+def verified(provider) -> int:
+    """Embeds a sentence; the number of its dimensions. An empty or a wrong vector is an error."""
+    vector = provider.embed(["hello world"])
+    if len(vector) != 1 or not len(vector[0]) or len(vector[0]) != provider.dim:
+        raise ValueError("the model gave an empty or a wrong vector; its files may be damaged")
+    return len(vector[0])
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parse(sys.argv[1:] if argv is None else argv)
     config = Path(a.config) if a.config else Config.locate()
@@ -81,9 +89,11 @@ def main(argv: list[str] | None = None) -> int:
         missing = 0
         for model in models_to_fetch(a.model, loaded, a.only):
             try:
-                provider_of(model, a.cache_dir)
+                provider = provider_of(model, a.cache_dir)
                 print(f"{model}: present")
-            except FileNotFoundError as error:
+                if a.verify:
+                    print(f"{model}: verified, {verified(provider)} dimensions")
+            except (OSError, ValueError, ImportError) as error:
                 missing += 1
                 print(f"{model}: {error}", file=sys.stderr)
         return int(missing > 0)

@@ -10,10 +10,6 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0
 PREVIEW_BYTES = 200
 
 
-def trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITE_SPACE))
-
-
 def preview(text: str, limit: int = PREVIEW_BYTES) -> str:
     """The text, cut after `limit` bytes at the next character boundary with "..."."""
     raw = text.encode()

@@ -36,6 +36,6 @@ def cosine(query: Column, vector: Column, vector_norm: Column) -> Column:
     return F.when(vector_norm == 0, FLOAT0()).otherwise((dot(query, vector).cast("double") / vector_norm.cast("double")).cast("float"))
 
 
-def masked_mean(states: Column, mask: Column, value: Column) -> Column:
-    """Mean over the unmasked rows of a group; 0 if all are masked."""
+def masked_mean(value: Column, mask: Column) -> Column:
+    """Mean over a group's rows whose mask is not 0; 0 if all are masked."""
     return F.coalesce(F.avg(F.when(mask != 0, value)), F.lit(0.0))

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from .ids import dense_ids
 
 
-def first_seen(occurrences: DataFrame, order: list[str]) -> DataFrame:
-    """text and `first` (the least struct of `order`); partial minima are taken before the shuffle."""
-    return occurrences.groupBy("text").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_occurrences"))
+def text_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def unique_texts(occurrences: DataFrame, order: list[str], first_id: int = 0) -> DataFrame:
-    """text_id, text, text_hash, n_occurrences by first occurrence along `order`."""
-    found = first_seen(occurrences, order)
-    flat = found.select("text", "n_occurrences", *[F.col(f"first.{c}").alias(c) for c in order])
-    keys = dense_ids(flat, order, "text_id", first_id)
-    return keys.withColumn("text_hash", F.sha2("text", 256))
+    """text_id, text, text_hash, n_occurrences and the columns of `order`, by first occurrence along `order` (which is unique).
+
+    Texts meet by their SHA-256, so a shuffle carries a hash and a place; the text itself is looked up at the end by its first place."""
+    keyed = occurrences.select(*order, text_hash(F.col("text")).alias("text_hash"))
+    first = keyed.groupBy("text_hash").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_occurrences"))
+    ids = dense_ids(first.select("text_hash", "n_occurrences", *[F.col(f"first.{c}").alias(c) for c in order]), order, "text_id", first_id)
+    return ids.join(occurrences.select(*order, "text"), order)
+
+
+def unknown_texts(occurrences: DataFrame, texts: DataFrame) -> DataFrame:
+    """The occurrences (with text_hash) whose text is not among `texts` (text_hash); what is left needs a vector."""
+    return occurrences.join(texts.select("text_hash"), "text_hash", "left_anti")
 
 
 def representatives(occurrences: DataFrame, key: str, order: Column, *values: str) -> DataFrame:
@@ -28,6 +34,6 @@ def representatives(occurrences: DataFrame, key: str, order: Column, *values: st
 
 def counts(occurrences: DataFrame) -> DataFrame:
     """n_chunks, n_unique_texts, n_duplicates."""
-    each = occurrences.groupBy("text").agg(F.count("*").alias("n"))
+    each = occurrences.groupBy(text_hash(F.col("text"))).agg(F.count("*").alias("n"))
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count("*").alias("n_unique_texts"))
     return total.withColumn("n_duplicates", F.greatest(F.col("n_chunks") - F.col("n_unique_texts"), F.lit(0)))

@@ -63,13 +63,16 @@ class OnnxProvider:
 
     FILES = ("model.onnx", "tokenizer.json", "config.json")
 
-    def __init__(self, folder: str, model_id: str, backend_id: str = "onnx-fp32"):
+    def __init__(self, folder: str, model_id: str, backend_id: str | None = None):
         import json
+        import platform
 
         missing = [f for f in self.FILES if not (Path(folder) / f).exists()]
         if missing:
             raise FileNotFoundError(f"model files missing in {folder}: {', '.join(missing)}")
-        self.folder, self.model_id, self.backend_id = folder, model_id, backend_id
+        self.folder, self.model_id = folder, model_id
+        # vectors of different systems may differ in their last digits
+        self.backend_id = backend_id or f"onnx-fp32-{platform.system().lower()}-{platform.machine().lower()}"
         self.dim = int(json.loads((Path(folder) / "config.json").read_text())["hidden_size"])
         self._loaded = None
 
@@ -104,7 +107,10 @@ def embed(texts: DataFrame, provider: Provider, text: str = "text", out: str = "
             vectors = np.zeros((len(values), provider.dim), np.float32)
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]
-                vectors[part] = provider.embed([values[i] for i in part])
+                made = np.asarray(provider.embed([values[i] for i in part]), np.float32)
+                if made.shape != (len(part), provider.dim):
+                    raise ValueError(f"the embedding backend returned {' x '.join(map(str, made.shape))} values for {len(part)} texts of {provider.dim} dimensions")
+                vectors[part] = made
             column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * provider.dim), pa.array(vectors.ravel()))
             yield batch.append_column(out, column)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from passagelake.functions.vectors import half_vector, norm
 from passagelake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk
-from passagelake.operators.dedup import unique_texts
+from passagelake.operators.dedup import text_hash, unique_texts, unknown_texts
 from passagelake.operators.embed import Provider, embed
 from passagelake.operators.ids import dense_ids
 from passagelake.sources import store
 from passagelake.sources.config import Config, portable
-from passagelake.sources.discover import Discovery, read_files
+from passagelake.sources.discover import Discovery, read_files, walk
 from passagelake.sources.scratch import stored
 
 
@@ -29,6 +30,7 @@ class Report:
     dirty: int = 0
     deleted: int = 0
     new_texts: int = 0
+    skipped: int = 0
 
 
 def with_vectors(texts: DataFrame, provider: Provider) -> DataFrame:
@@ -56,10 +58,14 @@ def compact(sources: DataFrame, texts: DataFrame, occurrences: DataFrame) -> tup
     return renumber(sources, s, "source_id"), renumber(texts, t, "text_id"), moved
 
 
-def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, previous: store.Index | None = None) -> tuple[store.Index, Report]:
-    """files: path, path_key, hash, text. With a reusable previous index only changed files are chunked and only new texts embedded."""
+def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, previous: store.Index | None = None, seen: DataFrame | None = None) -> tuple[store.Index, Report]:
+    """files: path, path_key, hash, text. With a reusable previous index only changed files are chunked and only new texts embedded.
+
+    seen (path, hash) are all files where `files` holds only the changed ones; a file in both has the hash of `files`, which goes with its text."""
     files = stored(files, "files")
     hashes = files.select("path", "hash")
+    if seen is not None:
+        hashes = stored(seen.select("path", "hash").join(hashes, "path", "left_anti").unionByName(hashes), "hashes")
     report = Report(None)
     kept = None
     if previous is not None:
@@ -70,9 +76,11 @@ def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK
         same = status.filter("status = 'unchanged'").select("path")
         files = files.join(status.filter("status = 'dirty'"), "path", "left_semi")
         kept = previous.occurrences.join(previous.sources, "source_id").join(same, "path", "left_semi").select("occ_ord", "source_id", "text_id", "byte_offset")
+    report.skipped = files.filter(F.col("text").isNull()).count()
     keyed = files.filter(F.col("text").isNotNull()).select(F.to_json(F.struct("path", "path_key")).alias("file"), "text")
     chunks = chunk(keyed, "file", "text", size, overlap).withColumn("f", F.from_json("file", "path string, path_key array<string>"))
-    chunks = stored(chunks.select("f.path", "f.path_key", "chunk_ord", "byte_offset", "text"), "chunks")
+    chunks = chunks.select("f.path", "f.path_key", "chunk_ord", "byte_offset", "text", text_hash(F.col("text")).alias("text_hash"))
+    chunks = stored(chunks, "chunks")
     order = ["path_key", "chunk_ord"]
     if previous is None:
         texts, sources = unique_texts(chunks, order), dense_ids(chunks.select("path", "path_key").distinct(), ["path_key"], "source_id")
@@ -81,7 +89,7 @@ def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK
         base = 0
     else:
         top = lambda df, key: (df.agg(F.max(key)).first()[0] if not df.isEmpty() else None)
-        fresh = chunks.join(previous.texts.select("text"), "text", "left_anti")
+        fresh = unknown_texts(chunks, previous.texts)
         last = top(previous.texts, "text_id")
         added = stored(with_vectors(unique_texts(fresh, order, 0 if last is None else last + 1), provider), "texts")
         texts = previous.texts.unionByName(added.select(*previous.texts.columns))
@@ -91,7 +99,7 @@ def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK
         new = added.count()
         last = top(previous.occurrences, "occ_ord")
         base = 0 if last is None else last + 1
-    numbered = dense_ids(chunks.select("path", *order, "byte_offset", F.sha2("text", 256).alias("text_hash")), order, "occ_ord", base)
+    numbered = dense_ids(chunks.select("path", *order, "byte_offset", "text_hash"), order, "occ_ord", base)
     occurrences = numbered.join(sources.select("path", "source_id"), "path").join(texts.select("text_hash", "text_id"), "text_hash").select("occ_ord", "source_id", "text_id", "byte_offset")
     if kept is not None:
         occurrences = stored(kept.unionByName(occurrences), "occurrences")
@@ -100,19 +108,18 @@ def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK
     texts = texts.select("text_id", "text", "text_hash", "embedding", "embedding_norm")
     meta = store.Meta(provider.model_id, provider.dim, root_dir, size, overlap, provider.backend_id, occurrences.count(), texts.count(), time.strftime("%Y-%m-%dT%H:%M:%S%z"), store.FORMAT_VERSION)
     report.new_texts = new if previous is not None else meta.num_unique_texts
-    return store.Index(meta, sources.select("source_id", "path"), texts, occurrences, hashes), report
+    index = store.Index(meta, sources.select("source_id", "path"), texts, occurrences, hashes)
+    index.check()
+    return index, report
 
 
 def index_folder(spark: SparkSession, root: str, folder: str, provider: Provider, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, discovery: Discovery = Discovery(), metadata_root: str | None = None) -> Report:
-    """Builds or refreshes the index in `folder`; without changes nothing is written."""
+    """Builds or refreshes the index in `folder`; without changes nothing is written. Files that are no UTF-8 are counted, warned of and left out."""
     if not Path(root).exists():
         raise FileNotFoundError(f"path does not exist: {root}")
     if not Path(root).is_dir():
         raise NotADirectoryError(f"not a directory: {root}")
     root_dir = portable(metadata_root) if metadata_root is not None else str(Path(root).resolve())
-    files = read_files(spark, root, discovery)
-    if files.isEmpty():
-        raise ValueError(f"no indexable files in {root}")
     previous = None
     try:
         meta = store.load_meta(folder)
@@ -120,9 +127,21 @@ def index_folder(spark: SparkSession, root: str, folder: str, provider: Provider
             previous = store.load(spark, folder)
     except FileNotFoundError:
         pass
-    if previous is not None and diff(files, previous.file_hashes).filter("status <> 'unchanged'").isEmpty():
-        return Report(None, previous.file_hashes.count())
-    index, report = build(files, provider, root_dir, size, overlap, previous)
+    files, seen = read_files(spark, root, discovery), None
+    if previous is not None:
+        # first the hashes of all files, then the texts of the changed ones
+        seen = stored(files.select("path", "hash"), "seen")
+        changed = stored(diff(seen, previous.file_hashes).filter("status <> 'unchanged'"), "changed")
+        if changed.isEmpty():
+            return Report(None, previous.file_hashes.count())
+        if seen.isEmpty():
+            raise ValueError(f"no indexable files in {root}")
+        files = read_files(spark, root, discovery, changed.filter("status = 'dirty'"))
+    elif not walk(root, discovery):
+        raise ValueError(f"no indexable files in {root}")
+    index, report = build(files, provider, root_dir, size, overlap, previous, seen)
+    if report.skipped:
+        warnings.warn(f"{report.skipped} files in {root} are no UTF-8 and were left out", stacklevel=2)
     if not index.meta.num_chunks:
         raise ValueError("no text to index")
     report.version = store.save(folder, index)

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import human_bytes_column, preview_column
-from passagelake.functions.vectors import cosine, dot, half_vector, norm, to_half
+from passagelake.functions.vectors import cosine, dot, half_vector, masked_mean, norm, to_half
 from passagelake.operators.chunking import chunk
-from passagelake.operators.dedup import counts, first_seen, representatives, unique_texts
+from passagelake.operators.dedup import counts, representatives, text_hash, unique_texts, unknown_texts
 from passagelake.operators.embed import HashingProvider, embed
 from passagelake.operators.ids import dense_ids
-from passagelake.operators.search import batch_top_k, federated_top_k, top_k
-from passagelake.plans.build import compact, diff, with_vectors
-from passagelake.sources.discover import Discovery, discovered, path_key
-from passagelake.sources.scratch import stored
+from passagelake.operators.search import batch_top_k, federated_top_k, resolve_hits, top_k
+from passagelake.plans import federation
+from passagelake.plans.build import build, compact, diff, with_vectors
+from passagelake.sources import store
+from passagelake.sources.discover import EXTENSIONS, FILENAMES, SKIPPED_DIRS, Discovery, discovered, path_key
+from passagelake.sources.scratch import shared_dir, stored
 
 SIZE, OVERLAP, DIM = 512, 64, 64
 QUERY = "the tion and of the rest with an answer"
@@ -44,8 +46,8 @@ def _discover(d: Discovery):
     return run
 
 
-EXTENSION_SQL = "('txt','md','tex','org','rst','csv','tsv','log','toml','conf','cfg','ini','env','tf','hcl','nix','xml','html','sql','proto','graphql','dockerfile','makefile','cmake'"
-NAMES_SQL = "('Makefile','Dockerfile','Rakefile','Gemfile','LICENSE','README','CHANGELOG','CONTRIBUTING','Justfile','Taskfile','Vagrantfile','.gitignore','.dockerignore','.editorconfig')"
+EXTENSION_SQL = "(" + ",".join(f"'{e}'" for e in EXTENSIONS)
+NAMES_SQL = "(" + ",".join(f"'{n}'" for n in FILENAMES) + ")"
 
 
 def _discover_sql(folder_rule: str, file_rule: str, extra: str = "") -> str:
@@ -58,7 +60,7 @@ WHERE len(list_filter(above, lambda d: NOT ({folder_rule}))) = 0
   AND (name IN {NAMES_SQL} OR (strpos(name[2:], '.') > 0 AND lower(regexp_extract(name, '([^.]*)$', 1)) IN {EXTENSION_SQL}{extra}))) AND ({file_rule})"""
 
 
-PLAIN_DIR = "d.name LIKE '.%' OR d.name IN ('node_modules','target','__pycache__','.git','vendor','dist','build')"
+PLAIN_DIR = "d.name LIKE '.%' OR d.name IN (" + ",".join(f"'{n}'" for n in SKIPPED_DIRS) + ")"
 DISCOVER = _discover_sql(f"NOT ({PLAIN_DIR})", "true")
 DISCOVER_CUSTOM = _discover_sql(
     f"d.name = 'dist' OR d.path = 'node_modules' OR d.path LIKE 'node\\_modules/%' ESCAPE '\\' OR NOT ({PLAIN_DIR} OR d.path = 'docs/src1' OR d.path LIKE 'docs/src1/%' OR d.name = 'README')",
@@ -224,7 +226,7 @@ def q_diff(spark, sf_dir):
 
 def q_deleted(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
-    return old.select("path").join(new.select("path"), "path", "left_anti")
+    return diff(_hashed(new), _hashed(old)).filter("status = 'deleted'").select("path")
 
 
 def q_incremental_plan(spark, sf_dir):
@@ -233,9 +235,10 @@ def q_incremental_plan(spark, sf_dir):
 
 def q_vector_reuse(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
-    pieces = lambda df: chunk(df, "path", "text", SIZE, OVERLAP).select("text").distinct()
-    known = pieces(old).withColumn("known", F.lit(True))
-    return pieces(new).join(known, "text", "left").select(F.sha2("text", 256).alias("text_hash"), F.coalesce("known", F.lit(False)).alias("reused"))
+    pieces = lambda df: stored(chunk(df, "path", "text", SIZE, OVERLAP).select(text_hash(F.col("text")).alias("text_hash")).distinct(), "pieces")
+    now = pieces(new)
+    fresh = unknown_texts(now, pieces(old)).withColumn("fresh", F.lit(True))
+    return now.join(fresh, "text_hash", "left").select("text_hash", F.col("fresh").isNull().alias("reused"))
 
 
 def q_compact(spark, sf_dir):
@@ -261,7 +264,7 @@ def q_preview(spark, sf_dir):
 def q_pool(spark, sf_dir):
     states = _t(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x"))
     whole = F.floor(F.col("x").cast("double") * 64)
-    return states.groupBy("label", "i").agg(F.coalesce(F.avg(F.when(F.col("vec_id") % 4 != 0, whole)), F.lit(0.0)).alias("mean"))
+    return states.groupBy("label", "i").agg(masked_mean(whole, F.col("vec_id") % 4).alias("mean"))
 
 
 def q_hash_embed(spark, sf_dir):
@@ -271,19 +274,73 @@ def q_hash_embed(spark, sf_dir):
 
 def _indexed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     found = stored(_chunks(spark, sf_dir), "chunks")
-    return found, with_vectors(unique_texts(found, ["doc_id", "chunk_ord"]), HashingProvider(DIM))
+    return found, stored(with_vectors(unique_texts(found, ["doc_id", "chunk_ord"]), HashingProvider(DIM)), "texts")
 
 
 def q_search_topk(spark, sf_dir):
     found, texts = _indexed(spark, sf_dir)
     hits = top_k(texts, HashingProvider(DIM).embed([QUERY])[0].tolist(), 5)
-    named = texts.select("text_id", "text", "doc_id", "chunk_ord").join(F.broadcast(hits), "text_id")  # 5 rows
-    return named.join(found.select("doc_id", "chunk_ord", "byte_offset"), ["doc_id", "chunk_ord"]).select("text_id", "score", "doc_id", "byte_offset", "text")
+    places = found.select(text_hash(F.col("text")).alias("text_hash"), F.col("doc_id").alias("source_id"), "byte_offset", F.struct("doc_id", "chunk_ord").alias("occ_ord"))
+    occurrences = texts.select("text_id", "text_hash").join(places, "text_hash")
+    sources = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("source").alias("path"))
+    return resolve_hits(hits, occurrences, sources, texts).select("text_id", "score", F.col("source_id").alias("doc_id"), "byte_offset", "text")
+
+
+def _files(df: DataFrame) -> DataFrame:
+    return df.select("path", path_key(F.col("path")).alias("path_key"), F.sha2("text", 256).alias("hash"), "text")
+
+
+def _built(spark, sf_dir, refresh: bool = False):
+    """The engine's index of the first version, or of the second one refreshed from it, and what the build reports."""
+    old, new = _versions(spark, sf_dir)
+    first = build(_files(old), HashingProvider(DIM), "corpus", SIZE, OVERLAP)
+    return build(_files(new), HashingProvider(DIM), "corpus", SIZE, OVERLAP, first[0]) if refresh else first
+
+
+def q_build(spark, sf_dir):
+    index, _ = _built(spark, sf_dir)
+    return index.occurrences.join(index.sources, "source_id").join(index.texts.select("text_id", "text_hash"), "text_id").select("occ_ord", "source_id", "path", "text_id", "byte_offset", "text_hash")
+
+
+def q_refresh(spark, sf_dir):
+    index, _ = _built(spark, sf_dir, True)
+    return index.occurrences.join(index.sources, "source_id").join(index.texts.select("text_id", "text_hash"), "text_id").select("path", "byte_offset", "text_hash")
+
+
+def q_refresh_texts(spark, sf_dir):
+    index, _ = _built(spark, sf_dir, True)
+    return index.texts.select("text_id", "text_hash", "embedding_norm")
+
+
+def q_refresh_sources(spark, sf_dir):
+    return _built(spark, sf_dir, True)[0].sources.select("source_id", "path")
+
+
+def q_refresh_report(spark, sf_dir):
+    index, r = _built(spark, sf_dir, True)
+    return spark.createDataFrame([(r.unchanged, r.dirty, r.deleted, r.new_texts, index.meta.num_chunks, index.meta.num_unique_texts, index.file_hashes.count())], "n_unchanged long, n_dirty long, n_deleted long, n_new_texts long, n_chunks long, n_unique_texts long, n_files long")
+
+
+def _saved(spark, df: DataFrame, name: str) -> federation.Spec:
+    folder = shared_dir(spark, name).removeprefix("file://").removeprefix("file:")
+    store.save(folder, build(_files(df), HashingProvider(DIM), name, SIZE, OVERLAP)[0])
+    return federation.Spec(folder, name)
+
+
+def q_stored_search(spark, sf_dir):
+    specs = [_saved(spark, df, name) for df, name in zip(_versions(spark, sf_dir), ("old", "new"))]
+    hits = federation.search(spark, specs, QUERY, HashingProvider(DIM), 12)
+    return hits.select("index_name", "root_dir", "source", "score", "byte_offset", "text")
+
+
+def q_stored_info(spark, sf_dir):
+    i = federation.info(spark, _saved(spark, _versions(spark, sf_dir)[0], "old"))
+    return spark.createDataFrame([tuple(i[k] for k in ("model", "files", "sources", "chunks", "unique texts", "duplicates"))], "model string, n_files long, n_sources long, n_chunks long, n_unique_texts long, n_duplicates long")
 
 
 def q_passage_match(spark, sf_dir):
     _, texts = _indexed(spark, sf_dir)
-    texts = stored(texts.select("text_id", "embedding", "embedding_norm"), "texts")
+    texts = texts.select("text_id", "embedding", "embedding_norm")
     items = embed(_t(spark, sf_dir, "benchmark").select("item_id", "text"), HashingProvider(DIM)).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
     return batch_top_k(texts, items, 3, "text_id")
 
@@ -337,6 +394,13 @@ def queries() -> dict:
         "q_hash_embed": q_hash_embed,
         "q_search_topk": q_search_topk,
         "q_passage_match": q_passage_match,
+        "q_build": q_build,
+        "q_refresh": q_refresh,
+        "q_refresh_texts": q_refresh_texts,
+        "q_refresh_sources": q_refresh_sources,
+        "q_refresh_report": q_refresh_report,
+        "q_stored_search": q_stored_search,
+        "q_stored_info": q_stored_info,
     }
 
 
@@ -351,6 +415,11 @@ def oracle_sql() -> dict:
         return re.sub(r"\b(base|sized|walk|windows|passages|chunks)\b", rf"{name}_\1", ctes)
 
     hashes = f"{VERSIONS}, h1 AS (SELECT path, sha256(text) AS h FROM one), h2 AS (SELECT path, sha256(text) AS h FROM two), d AS (SELECT coalesce(h1.path, h2.path) AS path, CASE WHEN h2.h IS NULL THEN 'deleted' WHEN h1.h = h2.h THEN 'unchanged' ELSE 'dirty' END AS status FROM h1 FULL JOIN h2 USING (path))"
+    two_versions = f"{VERSIONS}, {renamed(pieces('one', 'a'), 'a')}, {renamed(pieces('two', 'b'), 'b')}"
+    # texts of a version by first occurrence along the path's components and the chunk's number
+    firsts = lambda v: f"{v}_first AS (SELECT text, min((string_split(path, '/'), chunk_ord)) AS f FROM {v}_chunks GROUP BY text), {v}_texts AS (SELECT text, f, row_number() OVER (ORDER BY f) - 1 AS id FROM {v}_first)"
+    # after a refresh: what was known keeps its order, what is new follows
+    refreshed = f"{two_versions}, {firsts('a')}, {firsts('b')}, r AS (SELECT b.text, row_number() OVER (ORDER BY a.id NULLS LAST, b.f) - 1 AS text_id FROM b_texts b LEFT JOIN a_texts a USING (text))"
     query = _embed_sql("q", f"SELECT 1 AS q, '{QUERY}' AS text", "qe")
     return {
         "q_discover_default": DISCOVER,
@@ -380,5 +449,12 @@ def oracle_sql() -> dict:
         "q_pool": "SELECT label, CAST(i - 1 AS INTEGER) AS i, coalesce(avg(CASE WHEN vec_id % 4 <> 0 THEN floor(CAST(x AS DOUBLE) * 64) END), 0.0) AS mean FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i",
         "q_hash_embed": f"WITH {_embed_sql('doc_id', DOCS, 'd')} SELECT doc_id, CAST(i - 1 AS INTEGER) AS bucket, x FROM (SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM d)",
         "q_search_topk": f"WITH RECURSIVE {TEXTS}, {query}, s AS (SELECT text_id, {SCORE('qe.e', 'vec.e', 'vec.n')} AS score FROM vec, qe), k AS (SELECT * FROM s ORDER BY score DESC, text_id LIMIT 5) SELECT text_id, score, c.doc_id, c.byte_offset, text FROM k JOIN texts USING (text_id) JOIN firsts USING (text) JOIN chunks c USING (text) WHERE (c.doc_id, c.chunk_ord) = f",
+        "q_build": f"WITH RECURSIVE {two_versions}, {firsts('a')}, s AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS source_id FROM (SELECT DISTINCT path FROM a_chunks)) SELECT row_number() OVER (ORDER BY string_split(path, '/'), chunk_ord) - 1 AS occ_ord, source_id, path, id AS text_id, byte_offset, sha256(text) AS text_hash FROM a_chunks JOIN s USING (path) JOIN a_texts USING (text)",
+        "q_refresh": f"WITH RECURSIVE {two_versions} SELECT path, byte_offset, sha256(text) AS text_hash FROM b_chunks",
+        "q_refresh_texts": f"WITH RECURSIVE {refreshed}, {_embed_sql('text_id', 'SELECT text_id, text FROM r', 'raw')}, h AS (SELECT text_id, list_transform(e, lambda x: {HALF('x')}) AS e FROM raw) SELECT text_id, sha256(text) AS text_hash, {NORM('e')} AS embedding_norm FROM h JOIN r USING (text_id)",
+        "q_refresh_sources": f"WITH RECURSIVE {two_versions} SELECT row_number() OVER (ORDER BY path NOT IN (SELECT path FROM a_chunks), string_split(path, '/')) - 1 AS source_id, path FROM (SELECT DISTINCT path FROM b_chunks)",
+        "q_refresh_report": f"WITH RECURSIVE {two_versions}, d AS (SELECT one.text AS o, two.text AS n FROM one FULL JOIN two USING (path)) SELECT count(*) FILTER (o = n) AS n_unchanged, count(*) FILTER (n IS NOT NULL AND (o IS NULL OR o <> n)) AS n_dirty, count(*) FILTER (n IS NULL) AS n_deleted, (SELECT count(DISTINCT text) FROM b_chunks WHERE text NOT IN (SELECT text FROM a_chunks)) AS n_new_texts, (SELECT count(*) FROM b_chunks) AS n_chunks, (SELECT count(DISTINCT text) FROM b_chunks) AS n_unique_texts, (SELECT count(*) FROM two) AS n_files FROM d",
+        "q_stored_search": f"WITH RECURSIVE {two_versions}, {firsts('a')}, {firsts('b')}, u AS (SELECT 0 AS i, 'old' AS index_name, id, text, f FROM a_texts UNION ALL SELECT 1, 'new', id, text, f FROM b_texts), {_embed_sql('text', 'SELECT DISTINCT text FROM u', 'raw')}, h AS (SELECT text, list_transform(e, lambda x: {HALF('x')}) AS e FROM raw), vec AS (SELECT text, e, {NORM('e')} AS n FROM h), {query}, s AS (SELECT text, {SCORE('qe.e', 'vec.e', 'vec.n')} AS score FROM vec, qe), k AS (SELECT u.*, score FROM u JOIN s USING (text) ORDER BY score DESC, i, id LIMIT 12), p AS (SELECT 0 AS i, * FROM a_chunks UNION ALL SELECT 1, * FROM b_chunks) SELECT k.index_name, k.index_name AS root_dir, p.path AS source, score, byte_offset, k.text FROM k JOIN p ON p.i = k.i AND p.text = k.text AND (string_split(p.path, '/'), p.chunk_ord) = k.f",
+        "q_stored_info": f"WITH RECURSIVE {two_versions}, c AS ({dedup('a_chunks')}) SELECT 'hashing-{DIM}' AS model, (SELECT count(*) FROM one) AS n_files, (SELECT count(DISTINCT path) FROM a_chunks) AS n_sources, n_chunks, n_unique_texts, n_duplicates FROM c",
         "q_passage_match": f"WITH RECURSIVE {TEXTS}, {_embed_sql('item_id', 'SELECT item_id, text FROM benchmark', 'qe')}, s AS (SELECT item_id AS query_id, text_id, {SCORE('qe.e', 'vec.e', 'vec.n')} AS score FROM vec, qe) SELECT query_id, text_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3",
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Extensions, file names and pruned folders of the format.
 EXTENSIONS = ("txt", "md", "tex", "org", "rst", "csv", "tsv", "log", "toml", "conf", "cfg", "ini", "env", "tf", "hcl", "nix", "xml", "html", "sql", "proto", "graphql", "dockerfile", "makefile", "cmake")
 FILENAMES = ("Makefile", "Dockerfile", "Rakefile", "Gemfile", "LICENSE", "README", "CHANGELOG", "CONTRIBUTING", "Justfile", "Taskfile", "Vagrantfile", ".gitignore", ".dockerignore", ".editorconfig")
+READ_BYTES = 32 << 20  # bytes of files that a task holds at once (one larger file is held alone)
 SKIPPED_DIRS = ("node_modules", "target", "__pycache__", ".git", "vendor", "dist", "build")
 
 
@@ -56,23 +57,24 @@ def accepts(d: Discovery, path: str) -> bool:
 
 
 def walk(root: str, d: Discovery = Discovery()) -> list[str]:
-    """Relative paths in component order; links are followed, errors of the walk are raised, pruned folders are not read."""
+    """Relative paths in component order. Links are followed, and what several paths lead to is listed under each;
+    a link that leads nowhere or back to a folder above it is an error, as is a folder that cannot be read."""
     found: list[str] = []
-
-    def fail(error):
-        raise error
-
-    seen: set[str] = set()
-    for folder, dirs, files in os.walk(root, onerror=fail, followlinks=True):
-        real = os.path.realpath(folder)
-        if real in seen:
-            dirs[:] = []
-            continue
-        seen.add(real)
-        base = os.path.relpath(folder, root).replace(os.sep, "/")
-        inside = "" if base == "." else base + "/"
-        dirs[:] = [x for x in dirs if enters(d, inside + x)]
-        found += [inside + x for x in files if accepts(d, inside + x) and Path(folder, x).is_file()]
+    waiting = [("", (os.path.realpath(root),))]
+    while waiting:
+        inside, above = waiting.pop()
+        for entry in os.scandir(os.path.join(root, inside)):
+            path = inside + entry.name
+            if entry.is_symlink() and not os.path.exists(entry.path):
+                raise FileNotFoundError(f"broken link: {path}")
+            if entry.is_dir():
+                real = os.path.realpath(entry.path)
+                if entry.is_symlink() and real in above:
+                    raise OSError(f"link to a folder above it: {path}")
+                if enters(d, path):
+                    waiting.append((path + "/", (*above, real)))
+            elif entry.is_file() and accepts(d, path):
+                found.append(path)
     return sorted(found, key=lambda p: p.split("/"))
 
 
@@ -105,19 +107,32 @@ def discovered(path: Column, d: Discovery = Discovery()) -> Column:
     return above & known & (_matches(d.include, path, name) | ~_matches(d.exclude, path, name))
 
 
-def read_files(spark: SparkSession, root: str, d: Discovery = Discovery()) -> DataFrame:
-    """path, path_key, hash (SHA-256) and text of the discovered files; text is null where the bytes are no UTF-8.
+def read_files(spark: SparkSession, root: str, d: Discovery = Discovery(), only: DataFrame | None = None) -> DataFrame:
+    """path, path_key, hash (SHA-256) and text of the discovered files, or of those whose `path` is in `only`; text is null
+    where the bytes are no UTF-8.
 
     A file is read once, in its task, for both hash and text; names that Spark's own listing hides are included."""
     paths = walk(root, d)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 64 + 1, 4096)))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    if only is not None:
+        listed = listed.join(only.select("path"), "path", "left_semi")
+    listed = listed.repartition(max(1, min(len(paths) // 64 + 1, 4096)))
 
     def load(batches):
         import pyarrow as pa
 
+        def rows(part):
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([c for _, c in part], pa.binary())], names=["path", "content"])
+
         for batch in batches:
-            contents = [Path(root, p).read_bytes() for p in batch.column("path").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(contents, pa.binary())], names=["path", "content"])
+            part, held = [], 0
+            for p in batch.column("path").to_pylist():
+                part.append((p, Path(root, p).read_bytes()))
+                held += len(part[-1][1])
+                if held > READ_BYTES:
+                    yield rows(part)
+                    part, held = [], 0
+            yield rows(part)
 
     content = listed.mapInArrow(load, "path string, content binary")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 
 from passagelake.functions.vectors import half_vector, to_half
-from passagelake.operators.embed import HashingProvider, OnnxProvider, pool_and_normalize
+from passagelake.operators.embed import HashingProvider, OnnxProvider, embed, pool_and_normalize
 from passagelake.operators.ids import dense_ids
-from passagelake.operators.search import federated_top_k, top_k
+from passagelake.operators.search import batch_top_k, federated_top_k, resolve_hits, top_k
 from passagelake.plans import federation
 from passagelake.plans.build import compact, index_folder
 from passagelake.sources import store
@@ -27,8 +27,9 @@ def test_build_refresh_search(spark, tmp_path):
         (docs / f"d{n}.md").write_text(f"shared line about lakes\n\n{'word%d ' % n * 60}")
     (docs / "empty.md").write_text(" ")
     (docs / "bad.md").write_bytes(b"\xff\xff")
-    r = index_folder(spark, str(docs), out, P, 120, 20)
-    assert r.version == "v=1" and store.load(spark, out).file_hashes.count() == 8 and store.load(spark, out).sources.count() == 6
+    with pytest.warns(UserWarning, match="1 files"):
+        r = index_folder(spark, str(docs), out, P, 120, 20)
+    assert r.skipped == 1 and r.version == "v=1" and store.load(spark, out).file_hashes.count() == 8 and store.load(spark, out).sources.count() == 6
     assert index_folder(spark, str(docs), out, P, 120, 20).version is None and store.current(out) == "v=1"
     (docs / "d0.md").unlink()
     (docs / "d1.md").write_text("rivers and seas " * 20)
@@ -95,6 +96,42 @@ def test_top_k(spark):
     assert [(r.index_order, r.text_id) for r in federated_top_k([t, t], [1.0, 0.0], 3).collect()] == [(0, 1), (1, 1), (0, 0)]
 
 
+def test_batch_top_k_equals_single(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=5 if i % 4 else 3).tolist(), float(r.random() * (i % 7 > 0))) for i in range(60)] + [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0], 1.0) for i in range(5)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, embedding_norm float")
+    queries = [(k, r.normal(size=5).tolist()) for k in range(4)] + [(9, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    q = spark.createDataFrame(queries, "query_id long, query array<float>")
+    for block in (7, 1024):
+        got = {}
+        for x in batch_top_k(t, q, 6, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        assert got == {k: [(x.vec_id, x.score) for x in top_k(t, v, 6, "vec_id").collect()] for k, v in queries}
+    assert batch_top_k(t.limit(0), q, 3).count() == 0 == batch_top_k(t, q.limit(0), 3).count()
+
+
+def test_hits_with_bad_ids_are_errors(spark):
+    hits = spark.createDataFrame([(0, 0.5), (1, 0.25)], "text_id long, score float")
+    texts = spark.createDataFrame([(0, "a"), (1, "b")], "text_id long, text string")
+    sources = spark.createDataFrame([(0, "s.md")], "source_id long, path string")
+    occ = lambda *rows: spark.createDataFrame([(n, *x) for n, x in enumerate(rows)], "occ_ord long, source_id long, text_id long, byte_offset long")
+    found = resolve_hits(hits, occ((0, 1, 7), (0, 0, 3), (0, 1, 9)), sources, texts).collect()
+    assert sorted((r.text_id, r.path, r.byte_offset, r.text) for r in found) == [(0, "s.md", 3, "a"), (1, "s.md", 7, "b")]
+    with pytest.raises(ValueError, match="text ID 1 has no occurrence"):
+        resolve_hits(hits, occ((0, 0, 3)), sources, texts)
+    with pytest.raises(ValueError, match="invalid source ID 4"):
+        resolve_hits(hits, occ((0, 0, 3), (4, 1, 0)), sources, texts)
+
+
+def test_vectors_are_counted(spark):
+    class Short(HashingProvider):
+        def embed(self, texts):
+            return super().embed(texts)[:-1]
+
+    with pytest.raises(Exception, match="the embedding backend returned"):
+        embed(spark.createDataFrame([("a b",), ("c",)], "text string"), Short(8)).collect()
+
+
 def test_half_precision(spark):
     x = np.concatenate([np.random.default_rng(1).normal(size=3000).astype(np.float32) * np.float32(10.0) ** np.arange(-9, 6).repeat(200), np.asarray([0, 65504, 65520, 70000, 6e-8, 2.0**-14, -1.5], np.float32)])
     df = spark.createDataFrame([(x.tolist(),)], "v array<float>")

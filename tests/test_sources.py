@@ -25,10 +25,39 @@ def test_walk_and_column_rules_agree(spark, tmp_path):
     assert walk(str(tmp_path)).index("a/b.md") < walk(str(tmp_path)).index("a-b.md")
     assert "dist/node_modules/n.md" not in walk(str(tmp_path), Discovery(include=("dist",))) and "dist/node_modules/n.md" in walk(str(tmp_path), Discovery(include=("dist/",)))
     os.symlink(tmp_path / "a", tmp_path / "linked")
+    os.symlink(tmp_path / "a/b.md", tmp_path / "again.md")
+    assert {"a/b.md", "linked/b.md", "again.md"} <= set(walk(str(tmp_path)))
     rows = {r.path: r for r in read_files(spark, str(tmp_path)).collect()}
     assert rows["bad.md"].text is None and rows["bad.md"].hash and rows[".notes.md"].text == "text of .notes.md"
 
 
+def test_broken_and_circular_links_are_errors(tmp_path):
+    tree(tmp_path, "a/b/c.md")
+    os.symlink(tmp_path / "a", tmp_path / "a/b/up")
+    with pytest.raises(OSError, match="a/b/up"):
+        walk(str(tmp_path))
+    (tmp_path / "a/b/up").unlink()
+    os.symlink(tmp_path / "nothing", tmp_path / "a/gone.md")
+    with pytest.raises(FileNotFoundError, match="a/gone.md"):
+        walk(str(tmp_path))
+
+
+def test_only_some_files_are_read(spark, tmp_path):
+    tree(tmp_path, *(f"d{i}.md" for i in range(9)))
+    only = spark.createDataFrame([("d3.md",), ("d5.md",), ("x.md",)], "path string")
+    assert sorted(r.path for r in read_files(spark, str(tmp_path), only=only).collect()) == ["d3.md", "d5.md"]
+
+
+def test_download_verifies(tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["download", "-m", "hashing-8", "--verify"]) == 0 and "8 dimensions" in capsys.readouterr().out
+    assert cli.main(["download", "-m", "no/model", "--verify"]) == 1
+    for vectors in ([], [[]], [[1.0]], [[1.0, 0.0]] * 2):
+        broken = type("Broken", (), {"dim": 2, "embed": lambda self, texts, v=vectors: v})()
+        with pytest.raises(ValueError, match="damaged"):
+            cli.verified(broken)
+
+
 @pytest.mark.parametrize("raw, expected", [(".MDX", "mdx"), ("  md ", "md"), ("mdx", "mdx"), ("", None), ("  ", None), (".", None), ("..mdx", "mdx")])
 def test_extensions(raw, expected):
     assert normalize_extension(raw) == expected
