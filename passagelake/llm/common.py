@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from passagelake.sources.scratch import discard, shared_dir, stored  # noqa: F401
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone).
 SLICE_BYTES = 3 << 20
@@ -22,23 +21,6 @@ _BYTE_CODE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared scratch (spark.checkpoint.dir); local sessions without one get their own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="passagelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared scratch and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that each slice holds about `limit` bytes of `column` (at least one row)."""
     for batch in batches:
@@ -69,8 +51,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_LANES = [np.random.default_rng(s).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12)]
+
+
+def lane_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of all substrings of that width (at least 8), by start. Unlike span_hash() not linear in the bytes, so equal values stand for equal strings even where texts are made to collide."""
+    lanes = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(data), 8).copy().view(np.uint64).ravel()
+    n, out = len(data) - width + 1, []
+    steps = [*range(0, width - 7, 8)] + [width - 8] * (width % 8 > 0)
+    for keys in _LANES:
+        spread = mixed(lanes * keys[-1] + keys[-2])
+        total = np.zeros(n, np.uint64)
+        for k, step in enumerate(steps):
+            total += spread[step : step + n] * keys[k % 60]
+            if k % 60 == 59:
+                total = mixed(total)
+        out.append(mixed(total))
+    return out[0], out[1]
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the 64-bit hash of any substring of these bytes follows."""
+    """Prefix sums from which the 64-bit hash of any substring of these bytes follows.
+
+    It is linear in the bytes: strings can be made that differ and hash alike. It chooses places and brings strings together; what meets must be told apart by more."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
     return out

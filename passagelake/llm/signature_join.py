@@ -26,12 +26,14 @@ row stays null; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, prefix_hash, slices, span_hash, stored
+from .common import discard, mixed, slices, stored
 from .graphs import components
 
 LIMIT = 3_000_000  # elements that one verifying task holds of a group
@@ -47,13 +49,23 @@ _LOWER[65:91] += 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def word_hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b for each of the words that stand one after another in `letters`; each distinct word is hashed once."""
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    distinct = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()), "<u8")
+    return distinct[words.indices.to_numpy()]
+
+
 def gram_sets(texts: pa.Array, n: int = 4) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; of a text with fewer words one hash of them all."""
     raw = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
     joined = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
     space = _SPACE[joined]
     begins, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    word = mixed(span_hash(prefix_hash(joined), begins, ends) + (ends - begins).astype(np.uint64) * _A)
+    word = word_hashes(joined[~space], ends - begins)
     gram = word
     for k in range(1, n):
         gram = mixed(gram[:-1] * _B + word[k:]) if len(gram) > 1 else gram[:0]
@@ -289,14 +301,15 @@ def _node(s1: str, s2: str):
 def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, held: int = HELD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    source = docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text, F.lit(29)).alias("h2"))
     tops = [t for t in ceilings(percent) if t < 1 << 34]
 
     def sketch(batches):
         for batch in slices(batches, "text"):
             sets = gram_sets(batch.column("text"), n)
             marks = [fingerprint(s) for s in sets]
-            yield _batch(id=batch.column("id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([p[0] for p in marks], pa.int64()), s2=pa.array([p[1] for p in marks], pa.int64()), bitmap=pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary()))
+            yield _batch(id=batch.column("id"), h1=batch.column("h1"), h2=batch.column("h2"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([p[0] for p in marks], pa.int64()), s2=pa.array([p[1] for p in marks], pa.int64()), bitmap=pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary()))
 
     def deal(batches):
         seen = set()
@@ -332,7 +345,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
     ties = dealt.repartition("segment").sortWithinPartitions("segment", "s1", "s2").mapInArrow(tie, "s1 long, s2 long, g1 long, g2 long")
     ties = stored(ties.distinct(), "ties")
     tied = ties.unionByName(ties.select(F.col("g1").alias("s1"), F.col("g2").alias("s2"), "g1", "g2").distinct())
-    sketches = stored(source.mapInArrow(sketch, f"id {kind}, n_shingles long, s1 long, s2 long, bitmap binary"), "sketches")
+    sketches = stored(source.mapInArrow(sketch, f"id {kind}, h1 long, h2 long, n_shingles long, s1 long, s2 long, bitmap binary"), "sketches")
 
     def compare(batches):
         key, rows, bytes_held, over_held = None, {}, 0, False
@@ -369,13 +382,11 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
     near = tied.join(bitmaps, ["s1", "s2"]).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(compare, "s1 long, s2 long, r1 long, r2 long")
     groups = components(near.select(_node("s1", "s2").alias("a"), _node("r1", "r2").alias("b")))
     groups = stored(groups.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.col("root.s1").alias("g1"), F.col("root.s2").alias("g2")), "candidates")
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-
-    def with_print(batches):
-        for batch in slices(batches, "text"):
-            prints = [fingerprint(s) for s in gram_sets(batch.column("text"), n)]
-            yield _batch(text=batch.column("text"), s1=pa.array([p[0] for p in prints], pa.int64()), s2=pa.array([p[1] for p in prints], pa.int64()))
+    # one text of each candidate set is read again
+    place = sketches.groupBy("s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("s1", "s2", "h.*")
+    placed = stored(groups.join(place, ["s1", "s2"]), "places")
+    if placed.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
 
     def with_set(batches):
         seen = set()
@@ -390,8 +401,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
             columns = list(zip(*(keys[i] for i in new))) if new else [()] * 4
             yield _batch(**{c: pa.array(x, pa.int64()) for c, x in zip(("s1", "s2", "g1", "g2"), columns)}, size=pa.array([len(s) for s in sets], pa.int64()), grams=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    texts = source.select("text").mapInArrow(with_print, "text string, s1 long, s2 long")
-    members = texts.join(groups, ["s1", "s2"]).mapInArrow(with_set, "s1 long, s2 long, g1 long, g2 long, size long, grams binary")
+    members = source.select("text", "h1", "h2").join(placed, ["h1", "h2"]).select("text", "s1", "s2", "g1", "g2").mapInArrow(with_set, "s1 long, s2 long, g1 long, g2 long, size long, grams binary")
     members = stored(members, "sets")
     group = ["g1", "g2"]
     over = lambda rows: rows.groupBy(*group).agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select(*group)
@@ -447,7 +457,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
     roots = stored(roots, "roots")
     rows = sketches.drop("bitmap").join(roots, ["s1", "s2"], "left")
     rows = rows.select("id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2"))
-    least = rows.filter("n_shingles > 0").groupBy("r1", "r2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("r1", "r2", "least")
+    # stored: a join with a table can be split where one component is large, one with an aggregate cannot
+    least = stored(rows.filter("n_shingles > 0").groupBy("r1", "r2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("r1", "r2", "least"), "least")
     out = rows.join(least, ["r1", "r2"], "left")
     return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -5,18 +5,20 @@ A byte is removed if a string of SPAN bytes that covers it also starts somewhere
 1. Anchors. Of the GRAM-byte strings inside every SPAN-byte window the one of least hash is the window's anchor, so
    equal windows have equal anchors at equal places, and about one place in seventy is an anchor. Around it stands
    its context: all windows that may hold it.
-2. Anchors meet by their string's hash. One that meets none has no repeated window. Where whole contexts are equal,
-   all their windows are repeated, and one of them goes on.
+2. Anchors meet by their string's hash. One that meets none has no repeated window. Where whole contexts are equal (by
+   64 bits of XXH3 over their bytes, beside the string's own 64), all their windows are repeated, and one goes on.
 3. What differs is compared by its bytes. The suffixes from the anchors are sorted into a suffix array with the
-   common prefixes of neighbours; a stack scan gives the tree of common-prefix intervals, each with all its
-   occurrences. In an interval of common prefix d the occurrences are sorted by what stands before them: where they
-   differ on the left (else a longer string covers the repeat) neighbours give how far each match extends, and an
-   extension of at least SPAN - d bytes marks repeated windows.
-4. A group of over GROUP contexts is not gathered: it passes in parts of GROUP; of each part's windows the repeated
-   ones are marked at once, and one row for each distinct window is dealt out by its hash and counted.
+   common prefixes of neighbours; a stack scan gives the tree of common-prefix intervals. In an interval the
+   occurrences are sorted by what stands before them, and a second scan over the common extents to the left tells
+   where they differ there: each of its intervals is a maximal repeat with all its occurrences, which neither a
+   longer string on the right nor one on the left has too. Every occurrence's bytes go where the repeat is long enough.
+4. A group of over GROUP contexts is not gathered: it is dealt out in parts of about GROUP to as many tasks; of each
+   part's windows the repeated ones are marked at once, and one row for each distinct window meets those of the other
+   parts by 128 bits of its bytes. Strings with very many anchors, found on a sample of the anchors, are dealt out in
+   step 2 by their contexts, and contexts with very many are decided where they lie. This moves rows, never results.
 
 Equal texts are handled once: spans depend on the text alone, and a text of at least SPAN bytes that occurs twice
-goes whole. Rows meet in sorted streams, so no group is held in memory beyond GROUP contexts.
+goes whole. Rows meet in sorted streams, so no group is held in memory beyond about GROUP contexts.
 
 Defined cases: a null or empty text has no bytes; rows with equal or null ids count as documents of their own;
 extra columns are ignored; an empty table gives an empty result. Matches never cross documents.
@@ -25,17 +27,23 @@ extra columns are ignored; an empty table gives an empty result. Matches never c
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, prefix_hash, slices, span_hash, stored, window_hash
+from .common import discard, lane_hashes, mixed, prefix_hash, slices, stored, window_hash
 
 SPAN = 200
 GRAM = 64
 GROUP = 16_384  # contexts of one anchor that a task holds: 5.5 MB
+SHARE = 2000  # a string with more than GROUP anchors and one of so many of all is dealt out by its contexts
+SAMPLE = 16  # one of so many anchors is counted for that
+SALTS = 4096
+BROADCAST_ROWS = 250_000  # a table of up to so many rows of 16 bytes is sent to all executors
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -53,14 +61,15 @@ def anchors(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nd
     n, wide = len(data), span - gram + 1
     if n < span:
         return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2
-    prefix = prefix_hash(data)
-    grams = mixed(window_hash(prefix, gram))
+    grams = mixed(window_hash(prefix_hash(data), gram))
     least = sliding(grams, wide, np.minimum)
     padding = np.zeros(wide - 1, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate([padding, least, padding]), wide, np.maximum) == grams)
     start, stop = np.maximum(at - (wide - 1), 0), np.minimum(at + span, n)
     shape = ((at - start) * 65537 + (stop - start)).astype(np.uint64)
-    return at, grams[at], mixed(mixed(span_hash(prefix, start, stop)) + shape * np.uint64(0xD6E8FEB86659FD93))
+    raw = data.tobytes()
+    context = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())), np.uint64, len(at))
+    return at, grams[at], mixed(context + shape * np.uint64(0xD6E8FEB86659FD93))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -83,21 +92,33 @@ def intervals(prefixes: list[int], least: int):
             stack.append((p, first))
 
 
-def repeated_windows(contexts: list[tuple[bytes, bytes]], span: int = SPAN, gram: int = GRAM) -> list[list[tuple[int, int]]]:
-    """For each (bytes before the anchor, bytes from it): ranges of distances before the anchor at which a window begins that another context holds too."""
+def maximal_repeats(contexts: list[tuple[bytes, bytes]], span: int = SPAN, gram: int = GRAM):
+    """Of (bytes before the anchor, bytes from it) the maximal repeats of at least `span` bytes around the anchors, the bytes after cut to `span`: (bytes to the left, bytes to the right, all occurrences). Of repeats in one interval the longest come first."""
     order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
     before = [left[::-1] for left, _ in contexts]
     rank = {i: r for r, i in enumerate(sorted(range(len(contexts)), key=before.__getitem__))}
-    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
     neighbours = [min(span, common(contexts[a][1], contexts[b][1])) for a, b in zip(order[:-1], order[1:])]
     for depth, first, last in intervals(neighbours, gram):
-        members = sorted(order[first : last + 1], key=rank.__getitem__)
-        extent = [common(before[a], before[b]) for a, b in zip(members[:-1], members[1:])]
-        for k, i in enumerate(members):
-            far = max(extent[k - 1] if k else 0, extent[k] if k < len(extent) else 0)
-            if far >= span - depth:
-                found[i].append((span - depth, far))
-    return found
+        child = [0, *accumulate(p == depth for p in neighbours[first:last])]  # members of one child share more on the right
+        places = sorted(range(last + 1 - first), key=lambda p: rank[order[first + p]])
+        members, child = [order[first + p] for p in places], [child[p] for p in places]
+        extents = [common(before[a], before[b]) for a, b in zip(members[:-1], members[1:])]
+        # left diversity: between the groups of a common extent the bytes before it differ
+        for extent, a, b in intervals(extents, max(1, span - depth)):
+            if min(child[a : b + 1]) < max(child[a : b + 1]):
+                yield extent, depth, members[a : b + 1]
+        if depth >= span and min(extents) == 0:
+            yield 0, depth, members
+
+
+def repeated_windows(contexts: list[tuple[bytes, bytes]], span: int = SPAN, gram: int = GRAM) -> list[list[tuple[int, int]]]:
+    """For each (bytes before the anchor, bytes from it): ranges of distances before the anchor at which a window begins that another context holds too."""
+    found: list[dict[int, int]] = [{} for _ in contexts]
+    for extent, depth, members in maximal_repeats(contexts, span, gram):
+        for i in members:
+            if found[i].get(depth, -1) < extent:
+                found[i][depth] = extent
+    return [[(span - depth, extent) for depth, extent in x.items()] for x in found]
 
 
 def merged(starts, ends) -> list[list[int]]:
@@ -124,7 +145,7 @@ def met(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verdicts(batches):
-    """Of anchors sorted by ANCHOR those that meet another one: 0 their contexts differ, 1 its whole context is repeated, 2 so too, and it goes on for all equal ones."""
+    """Of anchors sorted by ANCHOR those that meet another one: 0 their contexts differ, 1 its whole context is repeated, 2 so too, and it goes on for all equal ones. Those of a `hot` string meet others for sure."""
     held, before = None, 0  # the last row waits for what follows it; `before` rows in front of it are only looked at
 
     def judged(x, first, last):
@@ -133,14 +154,14 @@ def verdicts(batches):
         gram_before, gram_after = np.concatenate([off, gram]), np.concatenate([gram, off])
         equal_before, equal_after = np.concatenate([off, equal]), np.concatenate([equal, off])
         verdict = np.where(equal_before, 1, np.where(equal_after, 2, 0)).astype(np.int32)
-        rows = np.flatnonzero(gram_before | gram_after)
+        rows = np.flatnonzero(gram_before | gram_after | x["hot"])
         rows = rows[(rows >= first) & (rows < last)]
         return _batch(**{n: x[n][rows] for n in ("gram", "k1", "k2", "at")}, verdict=verdict[rows])
 
     for batch in batches:
-        x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ANCHOR}
+        x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*ANCHOR, "hot")}
         if held is not None:
-            x = {n: np.concatenate([held[n], x[n]]) for n in ANCHOR}
+            x = {n: np.concatenate([held[n], v]) for n, v in x.items()}
         if not len(x["gram"]):
             continue
         # one place of one text, found by several tasks, is one anchor
@@ -177,12 +198,30 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
                 yield _batch(**{n: np.concatenate(x) for n, x in zip(ANCHOR, zip(*out))})
 
     found = keyed.filter(F.octet_length("text") >= span).select("k1", "k2", "text").mapInArrow(find, "gram long, context long, k1 long, k2 long, at int")
-    judged = stored(found.repartition("gram").sortWithinPartitions(*ANCHOR).mapInArrow(verdicts, "gram long, k1 long, k2 long, at int, verdict int"), "anchors")
+    found = stored(found, "anchors")
+    rows, direct = found.withColumn("hot", F.lit(False)), None
+    n = found.count()
+    most = max(group, n // SHARE)
+    if n > most:
+        counted = found.filter(F.pmod(F.xxhash64("k1", "k2", "at"), F.lit(SAMPLE)) == 0).groupBy("gram").count()
+        hot = stored(counted.filter(F.col("count") * SAMPLE >= most).select("gram", F.lit(True).alias("hot")), "hot-strings")  # SHARE rows or so
+        if not hot.isEmpty():
+            rows = found.join(F.broadcast(hot), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+            where = F.struct("k1", "k2", "at")
+            full = rows.filter("hot").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(where).alias("one"), F.max(where).alias("other"))
+            full = stored(full.filter((F.col("n") >= most) & (F.col("one") != F.col("other"))).select("gram", "context", "one"), "hot-contexts")  # SHARE rows at most
+            of_full = rows.filter("hot").join(F.broadcast(full), ["gram", "context"])
+            direct = of_full.select("gram", "k1", "k2", "at", F.when(where == F.col("one"), 2).otherwise(1).alias("verdict"))
+            rows = rows.join(F.broadcast(full.select("gram", "context", F.lit(True).alias("done"))), ["gram", "context"], "left").filter("done IS NULL").drop("done")
+    salt = F.when(F.col("hot"), F.pmod("context", F.lit(SALTS))).otherwise(0).cast("int")
+    judged = rows.withColumn("salt", salt).repartition("gram", "salt").sortWithinPartitions(*ANCHOR).drop("salt").mapInArrow(verdicts, "gram long, k1 long, k2 long, at int, verdict int")
+    judged = stored(judged if direct is None else judged.unionByName(direct), "judged")
+    discard(found)
 
     def contexts(batches):
         seen = set()
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for k1, k2, text, places in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("places")):
                 if (k1, k2) in seen:
                     continue
@@ -190,15 +229,24 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
                 raw = text.as_buffer().to_pybytes()
                 for place in places.as_py():
                     at = place["at"]
-                    for part, x in zip(out, (place["gram"], k1, k2, at, raw[max(0, at - left) : at], raw[at : at + span])):
+                    for part, x in zip(out, (place["gram"], place["part"], k1, k2, at, raw[max(0, at - left) : at], raw[at : at + span])):
                         part.append(x)
-            yield _batch(gram=pa.array(out[0], pa.int64()), k1=pa.array(out[1], pa.int64()), k2=pa.array(out[2], pa.int64()), at=pa.array(out[3], pa.int32()), before=pa.array(out[4], pa.binary()), after=pa.array(out[5], pa.binary()))
-
-    going = judged.filter("verdict <> 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
-    around = keyed.join(going, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(contexts, "gram long, k1 long, k2 long, at int, before binary, after binary")
+            yield _batch(gram=pa.array(out[0], pa.int64()), part=pa.array(out[1], pa.int32()), k1=pa.array(out[2], pa.int64()), k2=pa.array(out[3], pa.int64()), at=pa.array(out[4], pa.int32()), before=pa.array(out[5], pa.binary()), after=pa.array(out[6], pa.binary()))
+
+    # a group of over `group` contexts is dealt out in parts; -1: a group that one task holds
+    going = judged.filter("verdict <> 1")
+    large = stored(going.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group), "large-groups")
+    n_large = large.count()
+    if n_large:
+        going = going.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "gram", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("n") / group)), F.lit(-1))
+    else:
+        part = F.lit(-1)
+    places = going.withColumn("part", part.cast("int")).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "gram", "part")).alias("places"))
+    around = keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(contexts, "gram long, part int, k1 long, k2 long, at int, before binary, after binary")
 
     def compare(batches):
-        names = ("gram", "k1", "k2", "at", "before", "after")
+        names = ("gram", "part", "k1", "k2", "at", "before", "after")
         current, rows, hot, out, last = None, [], False, [], None
 
         def windows():
@@ -207,9 +255,8 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
             for k1, k2, at, before, after in rows:
                 data = np.frombuffer(before + after, np.uint8)
                 if len(data) >= span:
-                    prefix = prefix_hash(data)
-                    starts = np.arange(min(len(data) - span, len(before)) + 1)
-                    found.append((np.full(len(starts), k1), np.full(len(starts), k2), at - len(before) + starts, span_hash(prefix, starts, starts + span).view(np.int64), mixed(span_hash(prefix, starts, starts + span // 2)).view(np.int64)))
+                    one, two = (x[: len(before) + 1].view(np.int64) for x in lane_hashes(data, span))
+                    found.append((np.full(len(one), k1), np.full(len(one), k2), at - len(before) + np.arange(len(one)), one, two))
             rows.clear()
             if not found:
                 return
@@ -244,22 +291,21 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in names)):
-                if row[:4] == last:
+                if row[:5] == last:
                     continue
-                last = row[:4]
-                if row[0] != current:
+                last = row[:5]
+                if row[:2] != current:
                     close()
-                    current, rows, hot = row[0], [], False
-                rows.append(row[1:])
-                if len(rows) > group:
-                    hot = True
+                    current, rows, hot = row[:2], [], row[1] >= 0
+                rows.append(row[2:])
+                if hot and len(rows) > group:
                     windows()
                 if len(out) > 50_000:
                     yield flush()
         close()
         yield flush()
 
-    compared = stored(around.repartition("gram").sortWithinPartitions("gram", "k1", "k2", "at").mapInArrow(compare, "k1 long, k2 long, start int, end int, w1 long, w2 long"), "windows")
+    compared = stored(around.repartition("gram", "part").sortWithinPartitions("gram", "part", "k1", "k2", "at").mapInArrow(compare, "k1 long, k2 long, start int, end int, w1 long, w2 long"), "windows")
     single = compared.filter("w1 IS NOT NULL").distinct()
     where = F.struct("k1", "k2", "start")
     twice = single.groupBy("w1", "w2").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("w1", "w2")

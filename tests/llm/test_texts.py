@@ -6,10 +6,11 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from passagelake.llm import quality_cascade, queries, signature_join, suffix_dedup, surrogates, template_extraction, threshold_topk
+from passagelake.llm import common, quality_cascade, queries, signature_join, suffix_dedup, surrogates, template_extraction, threshold_topk
 
 
 def removed(texts, span):
@@ -39,6 +40,45 @@ def test_suffix_dedup(spark, group):
 
 def test_maximal_repeats_have_all_occurrences():
     assert sorted(suffix_dedup.intervals([3, 5, 5, 0, 2], 2)) == [(2, 4, 5), (3, 0, 3), (5, 1, 3)]
+    # around one anchor string: every maximal repeat with all its occurrences, and none that a longer one covers alike
+    r = random.Random(8)
+    contexts = [("".join(r.choice("ab") for _ in range(r.randint(0, 5))).encode(), b"ANCHOR" + "".join(r.choice("xy") for _ in range(r.randint(0, 5))).encode()) for _ in range(40)]
+    contexts = sorted(set(contexts))
+    got = {(left, right, tuple(sorted(members))) for left, right, members in suffix_dedup.maximal_repeats(contexts, 8, 6)}
+    want = set()
+    for i, (before, after) in enumerate(contexts):
+        for left in range(len(before) + 1):
+            for right in range(6, min(8, len(after)) + 1):
+                head, tail = before[len(before) - left :], after[:right]
+                where = [j for j, (b, a) in enumerate(contexts) if b.endswith(head) and a.startswith(tail)]
+                longer_left = {contexts[j][0][: len(contexts[j][0]) - left][-1:] or j for j in where}
+                longer_right = {contexts[j][1][right : right + 1] or j for j in where} if right < 8 else {0, 1}
+                if left + right >= 8 and len(where) > 1 and len(longer_left) > 1 and len(longer_right) > 1:
+                    want.add((left, right, tuple(where)))
+    assert got == want and len(want) > 20
+
+
+def test_strings_that_linear_hashes_confuse():
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    one, two = signature_join.gram_sets(pa.array([a, b]))
+    assert len(one) == len(two) == 1 and one[0] != two[0]
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    hashes = list(zip(*(x.tolist() for x in common.lane_hashes(data, 200))))
+    strings = [data[i : i + 200].tobytes() for i in range(len(data) - 199)]
+    assert len(set(hashes)) == len(set(strings)) == len(set(zip(hashes, strings)))
+
+
+def test_hot_strings_are_dealt_out(spark):
+    # one line in most rows, each time among other words, and one passage copied whole into others
+    r = random.Random(2)
+    line, passage = "the line that stands everywhere " * 2, "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = [f"{r.random()} {line}{r.choice([line, ''])}{r.random()} {line} {'x' * r.randint(0, 9)}" for _ in range(300)] + [f"{i} {passage} {i * 7}" for i in range(200)] + [passage] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    expected = [(i, *e) for i, e in enumerate(removed([t.encode() for t in texts], 40))]
+    for group in (5, 60):
+        out = suffix_dedup.remove_repeats(df, 40, 12, group, digests=True, keep=("doc_id",)).collect()
+        assert sorted(map(tuple, out)) == expected
 
 
 def components(rows, n=4, percent=85):
