@@ -152,6 +152,10 @@ def test_quality(spark):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, (tuple(r) for r in expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())))
     assert sorted(r.doc_id or -1 for r in got.filter("kept").collect()) == sorted(r.doc_id or -1 for r in quality_cascade.filter_quality(df).collect()) == [-1, 3, 3]
     assert quality_cascade.judge_quality(df.limit(0)).count() == 0
+    # long texts are measured in slices: the same rows
+    key = lambda found: sorted(map(repr, map(tuple, found.collect())))
+    assert key(quality_cascade.judge_quality(df, long=20, size=7)) == key(got)
+    assert key(quality_cascade.filter_quality(df, long=20, size=50)) == key(quality_cascade.filter_quality(df))
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
