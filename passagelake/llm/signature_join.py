@@ -9,7 +9,7 @@ A document's set holds the hashes of its distinct n-grams of lower-cased words;
    both, so no link is lost.
 2. Each set has a bitmap of the parities of its elements' hashes; two bitmaps differ in no more bits than their sets
    in elements. Of the sets tied to one set those go on whose bitmaps differ in few enough bits for a link, tied to
-   each other (sets of over HELD bytes of bitmaps stay tied as they are). What is then tied together, directly or not,
+   each other (sets of over HELD bytes of rows stay tied as they are). What is then tied together, directly or not,
    forms a candidate group; it is verified by itself. A group of over LIMIT elements is taken apart: the sets tied to one set are verified together, so a set goes on once for each set that it
    is tied to. If these are over LIMIT, they are cut into blocks by size and hash, and pairs of blocks of fitting sizes
    are verified.
@@ -39,7 +39,8 @@ from .graphs import components
 LIMIT = 3_000_000  # elements that one verifying task holds of a group
 LEAF = 32
 LEVEL = 1.4
-HELD = 32 << 20  # bytes of bitmaps that one task compares
+HELD = 32 << 20  # bytes of bitmaps and of their rows that one task compares
+ROW_BYTES = 256
 WIDEST = 1 << 16  # bits of a parity bitmap at most
 BROADCAST_ROWS = 250_000  # a table of up to so many rows of 32 bytes is sent to all executors, a larger one is shuffled
 _SPACE = np.zeros(256, bool)
@@ -371,7 +372,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
                     out.append((s1, s2, *k))
                 elif (s1, s2) not in rows:
                     rows[s1, s2] = (size, bitmap)
-                    bytes_held += len(bitmap)
+                    bytes_held += len(bitmap) + ROW_BYTES
                     if bytes_held > held:
                         out += [(*x, *k) for x in rows]
                         rows, over_held = {}, True
