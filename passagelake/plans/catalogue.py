@@ -322,7 +322,7 @@ def q_refresh_report(spark, sf_dir):
 
 
 def _saved(spark, df: DataFrame, name: str) -> federation.Spec:
-    folder = shared_dir(spark, name).removeprefix("file://").removeprefix("file:")
+    folder = shared_dir(spark, name)
     store.save(folder, build(_files(df), HashingProvider(DIM), name, SIZE, OVERLAP)[0])
     return federation.Spec(folder, name)
 

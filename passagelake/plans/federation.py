@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from passagelake.functions.text import human_bytes, preview
 from passagelake.operators.search import resolve_hits, top_k
-from passagelake.sources import store
+from passagelake.sources import files, store
 from passagelake.sources.config import INDEX_DIR, Config
 
 
@@ -97,7 +97,6 @@ def as_text(hits: DataFrame, full: bool = False) -> str:
 def info(spark: SparkSession, spec: Spec) -> dict[str, object]:
     """What the index holds, from its head and its files' sizes; vectors are not read."""
     meta = store.load_meta(spec.path)
-    version = Path(spec.path, store.current(spec.path))
-    size = sum(p.stat().st_size for p in version.rglob("*") if p.is_file())
+    size = files.size(files.joined(spec.path, store.current(spec.path)))
     index = store.load(spark, spec.path)
     return {"index": spec.label, "path": spec.path, "root": meta.root_dir, "model": meta.model_id, "backend": meta.embedding_backend, "format": meta.format_version, "dimensions": meta.hidden_size, "files": index.file_hashes.count(), "sources": index.sources.count(), "chunks": meta.num_chunks, "unique texts": meta.num_unique_texts, "duplicates": max(0, meta.num_chunks - meta.num_unique_texts), "chunking": f"{meta.chunk_size}/{meta.chunk_overlap} bytes", "created": meta.created_at, "size": human_bytes(size)}

@@ -1,14 +1,14 @@
-"""An index on disk: versions of four Parquet tables and a JSON head, committed by renaming one pointer file."""
+"""An index, on a local disk or in any store that Spark writes to: versions of four Parquet tables and a JSON head, committed by renaming one pointer file."""
 
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passagelake.sources import files
+
 FORMAT_VERSION = 1
 SCHEMAS = {
     "sources": "source_id long, path string",
@@ -58,33 +58,32 @@ class Index:
 
 
 def current(folder: str) -> str:
-    pointer = Path(folder, "CURRENT")
-    if not pointer.exists():
+    pointer = files.joined(folder, "CURRENT")
+    if not files.exists(pointer):
         raise FileNotFoundError(f"No index found at {folder}")
-    return pointer.read_text().strip()
+    return files.read_text(pointer).strip()
 
 
 def load_meta(folder: str) -> Meta:
-    return Meta.parse(Path(folder, current(folder), "meta.json").read_text())
+    return Meta.parse(files.read_text(files.joined(folder, current(folder), "meta.json")))
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     """Pinned to the version that is current now; tables are read when used."""
-    version = Path(folder, current(folder)).absolute()
-    tables = {name: spark.read.schema(schema).parquet(str(version / name)) for name, schema in SCHEMAS.items()}
-    return Index(Meta.parse((version / "meta.json").read_text()), **tables)
+    version = files.joined(folder, current(folder))
+    tables = {name: spark.read.schema(schema).parquet(files.for_spark(files.joined(version, name))) for name, schema in SCHEMAS.items()}
+    return Index(Meta.parse(files.read_text(files.joined(version, "meta.json"))), **tables)
 
 
 def save(folder: str, index: Index) -> str:
     """A new version; readers see it once it is whole."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    taken = [int(p.name[2:]) for p in Path(folder).glob("v=*") if p.name[2:].isdigit()]
+    taken = [int(name[2:]) for name in files.names(folder) if name.startswith("v=") and name[2:].isdigit()]
     name = f"v={max(taken, default=0) + 1}"
-    version = Path(folder, name).absolute()
+    version = files.joined(folder, name)
     for table, schema in SCHEMAS.items():
         columns = [c.split()[0] for c in schema.replace(", ", ",").split(",")]
-        getattr(index, table).select(*columns).write.parquet(str(version / table))
-    (version / "meta.json").write_text(json.dumps(asdict(index.meta), indent=2))
-    (Path(folder) / "CURRENT.tmp").write_text(name)
-    os.replace(Path(folder) / "CURRENT.tmp", Path(folder) / "CURRENT")
+        getattr(index, table).select(*columns).write.parquet(files.for_spark(files.joined(version, table)))
+    files.write_text(files.joined(version, "meta.json"), json.dumps(asdict(index.meta), indent=2))
+    files.write_text(files.joined(folder, "CURRENT.tmp"), name)
+    files.replace(files.joined(folder, "CURRENT.tmp"), files.joined(folder, "CURRENT"))
     return name

@@ -50,6 +50,11 @@ def test_build_refresh_search(spark, tmp_path):
     assert [x.index_name for x in both] == ["a", "b"] and both[0].score == both[1].score
     assert "1. a: d1.md" in federation.as_text(federation.search(spark, [federation.Spec(out, "a")], "rivers seas", P, 1))
     assert federation.info(spark, federation.Spec(out))["chunks"] == i.meta.num_chunks
+    # the same in a store that only Spark's file systems reach
+    url = f"file://{tmp_path}/url"
+    for version in ("v=1", "v=2"):
+        assert store.save(url, i) == version == store.current(url)
+    assert content(spark, url) == content(spark, out) and federation.info(spark, federation.Spec(url))["chunks"] == i.meta.num_chunks
     # other settings: built anew
     assert index_folder(spark, str(docs), out, P, 100, 20).unchanged == 0
     for bad, error in ((str(tmp_path / "none"), FileNotFoundError), (str(docs / "d2.md"), NotADirectoryError)):
