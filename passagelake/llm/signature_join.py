@@ -466,9 +466,10 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, limit: int = LIMIT, h
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each component: that of the least non-null id, among equal ids that of the least text hash, then of the first row. Each row, repeated or of a null id, is a document of its own."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    id_, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
-    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("hash"), F.col("_row").alias("row"))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the input meets one that is made here
+    numbered = stored(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()], F.monotonically_increasing_id().alias("row")), "numbered")
+    id_, text = F.col(own[id_column]), F.col(own[text_column])
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("hash"), F.col("row"))
     found = linked(numbered.select(key.alias("key"), text.alias("text")), n, percent, id_column="key")
-    losing = found.filter(F.col("component_id") < F.col("key")).select(F.col("key.row").alias("_row"))
-    return numbered.join(losing, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    losing = found.filter(F.col("component_id") < F.col("key")).select(F.col("key.row").alias("row"))
+    return numbered.join(losing, "row", "left_anti").select(*[F.col(o).alias(c) for c, o in own.items()])

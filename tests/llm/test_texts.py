@@ -124,6 +124,24 @@ def test_signature_join(spark, limit, percent):
     assert signature_join.linked(df.limit(0)).count() == 0
 
 
+def test_null_ids_and_long_texts_join(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b  c d e\nf"), (None, "alone at the end"), (8, long), (9, long + " more"), (10, long[: len(long) // 2])]
+    out = sorted(map(repr, map(tuple, signature_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    n = 120_000 - 3
+    half = len(long[: len(long) // 2].split()) - 3
+    assert out == sorted(map(repr, [(None, 3, 7), (None, 3, 7), (7, 3, 7), (None, 1, None), (8, n, 8), (9, n + 1, 8), (10, half, 10)]))
+
+
+def test_long_texts_lose_their_repeats(spark):
+    r = random.Random(3)
+    passage, said = "".join(r.choice("abcdef ") for _ in range(250)), lambda n: "".join(r.choice("ghijkl ") for _ in range(n))
+    text = "".join(said(20_000) + passage for _ in range(40))
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), keep=("doc_id",)).orderBy("doc_id").collect()
+    assert out[0].n_removed >= 40 * 250 and out[0].n_removed < 40 * 260 and out[0].n_spans == 40 and out[1].n_removed == 0
+    assert passage not in out[0].kept_text
+
+
 @pytest.mark.parametrize("bits", [1 << 27, 4096])
 def test_signature_tree(bits):
     r = np.random.default_rng(2)

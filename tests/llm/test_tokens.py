@@ -108,6 +108,9 @@ def test_packing(spark):
         assert r.length == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(np.asarray(r.ids, "<u4").tobytes())
         sequences[r.sequence_id].append((r.offset, r.length))
         pieces[r.doc_id].append((r.start, r.ids, r.doc_tokens))
+    # two rows of one id are packed each for itself
+    twice = [ids_of(WORD, t) + [1] for i, t in rows if i == 3]
+    assert sorted(n for start, _, n in pieces[3] if start == 0) == sorted(map(len, twice)) and sorted(x for _, ids, _ in pieces[3] for x in ids) == sorted(x for ids in twice for x in ids)
     for s in sequences.values():
         at = 0
         for offset, length in sorted(s):
