@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         # done when every node hangs on one root and no root hangs on another
         roots = small.select("a").distinct()
         again = small.join(roots.withColumnRenamed("a", "b"), "b", "left_semi").limit(1).count() or small.groupBy("b").count().filter("count > 1").limit(1).count()
+        discard(edges)
         edges = small
         if not again:
             break

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .quality_cascade import let
 
 FEMALE = r"Mrs|Ms|Miss|Madam|Mme|Mlle|Frau|Sra|Srta|Señora|Señorita|Madame|Mademoiselle"
@@ -186,8 +186,10 @@ def exceptions(found: DataFrame, make: Surrogate) -> DataFrame | None:
         losing = stored(losing, "collisions")
         if losing.isEmpty():
             break
-        moved = True
+        moved, before = True, found
         found = stored(found.join(losing, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "entities")
+        discard(before)
+        discard(losing)
     return found.filter("attempt > 0") if moved else None
 
 

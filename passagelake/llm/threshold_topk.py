@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BLOCK = 8192
 STEP = 16
@@ -119,10 +119,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
         rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<long>").alias("v"), F.monotonically_increasing_id().alias("key"))
         rows = stored(rows.filter("id IS NOT NULL AND v IS NOT NULL").withColumn("size", F.size("v")), name)
         blocks = max(1, -(-rows.count() // block))
-        return blocks, rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        return blocks, rows, rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
 
-    n_blocks, candidates = numbered(vectors, "candidates")
-    _, asked = numbered(queries, "queries")
+    n_blocks, rows, candidates = numbered(vectors, "candidates")
+    asked = numbered(queries, "queries")[2]
 
     def with_lists(batches):
         for batch in batches:
@@ -165,9 +165,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
         found = met.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
         if kept is not None:
             found = found.unionByName(kept.select("key", "id", "score"))
-        kept = stored(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "best")
+        before, kept = kept, stored(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "best")
+        for table in [packed] + [before] * (before is not None) + [met] * (not with_scored):
+            discard(table)
         scored = met.select("key", "n") if scored is None else scored.unionByName(met.select("key", "n"))
         start, count = start + count, (start + count) * GROWTH
+    for table in (blocks, rows):
+        discard(table)
     out = kept.join(asked.select("key", F.col("id").alias("query_id")), "key")
     if with_scored:
         out = out.join(scored.groupBy("key").agg(F.sum("n").alias("n_scored")), "key")
