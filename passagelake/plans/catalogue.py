@@ -281,7 +281,7 @@ def q_search_topk(spark, sf_dir):
     found, texts = _indexed(spark, sf_dir)
     hits = top_k(texts, HashingProvider(DIM).embed([QUERY])[0].tolist(), 5)
     places = found.select(text_hash(F.col("text")).alias("text_hash"), F.col("doc_id").alias("source_id"), "byte_offset", F.struct("doc_id", "chunk_ord").alias("occ_ord"))
-    occurrences = texts.select("text_id", "text_hash").join(places, "text_hash")
+    occurrences = places.join(F.broadcast(texts.select("text_id", "text_hash")), "text_hash")  # resolve_hits filters it to the hits' ids
     sources = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("source").alias("path"))
     return resolve_hits(hits, occurrences, sources, texts).select("text_id", "score", F.col("source_id").alias("doc_id"), "byte_offset", "text")
 
@@ -290,6 +290,11 @@ def _files(df: DataFrame) -> DataFrame:
     return df.select("path", path_key(F.col("path")).alias("path_key"), F.sha2("text", 256).alias("hash"), "text")
 
 
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: path, path_key, hash, text."""
+    return _files(_versions(spark, sf_dir)[0])
+
+
 def _built(spark, sf_dir, refresh: bool = False):
     """The engine's index of the first version, or of the second one refreshed from it, and what the build reports."""
     old, new = _versions(spark, sf_dir)
