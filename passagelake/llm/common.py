@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ _BYTE_CODE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc has it
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that each slice holds about `limit` bytes of `column` (at least one row)."""
     for batch in batches:
@@ -35,6 +39,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: else the allocators keep what a step took at its peak, beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def trimming(run):
+    """run (batches to batches), whose worker gives freed memory back when a task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def filled(column: pa.Array) -> pa.Array:
     """The texts, null as the empty text."""
     return pc.fill_null(column, "")

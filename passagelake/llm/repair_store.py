@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, shared_dir, slices
+from .common import filled, shared_dir, slices, trimming
 from .pieces import encoder, releasing
 
 MAGIC = b"RPID1\0\0\0"
@@ -45,14 +45,20 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         at = np.flatnonzero(live)
         if len(at) < least:
             break
-        code = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        code = symbols[at].astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= symbols[1:][at]
         bits = max(10, len(at).bit_length())
-        slot = (code * _SALTS[salt % len(_SALTS)] >> np.uint64(64 - bits)).astype(np.int64)
+        slot = code * _SALTS[salt % len(_SALTS)]
+        slot >>= np.uint64(64 - bits)
+        slot = slot.view(np.int64)
         salt += 1
         # pairs share slots, so a slot's count is a bound
-        often = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
         live[at[~often]] = False
-        at, code, slot = at[often], code[often], slot[often]
+        at = at[often]  # one after the other: each old array goes before the next new one comes
+        code = code[often]
+        slot = slot[often]
         # of pairs that overlap in a run of one symbol every second one counts
         twins = np.flatnonzero(code >> np.uint64(32) == code & np.uint64(0xFFFFFFFF))
         counts = np.ones(len(at), bool)
@@ -63,21 +69,30 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         pair = np.zeros(1 << bits, np.uint64)
         pair[slot] = code
         alone = pair[slot] == code  # the others wait for another salt
-        n = np.bincount(slot[alone & counts], minlength=1 << bits)[slot]
-        live[at[alone & (n < least)]] = False
-        ready = alone & counts & (n >= least)
+        n = np.bincount(slot[alone & counts], minlength=1 << bits)
+        enough = (n >= least)[slot]
+        live[at[alone & ~enough]] = False
+        ready = alone & counts & enough
         if not ready.any():
             waiting = np.unique(code[~alone & counts], return_counts=True)[1]
             if waiting.max(initial=0) < least:
                 break
             continue
-        at, code, slot, n = at[ready], code[ready], slot[ready], n[ready].astype(np.uint64)
-        rank = n << np.uint64(32) | code * _SALTS[0] >> np.uint64(32)
+        at = at[ready]
+        code = code[ready]
+        slot = slot[ready]
+        code *= _SALTS[0]
+        code >>= np.uint64(32)
+        rank = n[slot].astype(np.uint64)
+        rank <<= np.uint64(32)
+        rank |= code
+        del n, code
         near = np.diff(at) == 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~(near & (rank[1:] <= rank[:-1]))
         wins[:-1] &= ~(near & (rank[:-1] < rank[1:]))
         at, slot = at[wins], slot[wins]
+        del rank
         chosen = np.flatnonzero(np.bincount(slot, minlength=1 << bits) >= least)
         number = np.zeros(1 << bits, np.uint32)
         number[chosen] = first_rule + made + np.arange(len(chosen))
@@ -182,8 +197,9 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, shard_ids:
         def flush():
             nonlocal shard, done, ids, marks, held
             flat = np.concatenate(ids)
+            ids = []
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([done], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([[d for d, _ in marks]], pa.list_(id_type)), pa.array([[n for _, n in marks]], pa.list_(pa.int64())), pa.array([pack_shard(flat, first_rule)], pa.binary())], names=["part", "shard", "start", "n_ids", "docs", "lengths", "payload"])
-            done, shard, ids, marks, held = done + len(flat), shard + 1, [], [], 0
+            done, shard, marks, held = done + len(flat), shard + 1, [], 0
             return row
 
         for batch in slices(batches, text_column):
@@ -199,7 +215,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, shard_ids:
             yield flush()
 
     ordered = docs.select(id_column, text_column).repartitionByRange(id_column).sortWithinPartitions(F.col(id_column).asc_nulls_first(), F.xxhash64(text_column))
-    ordered.mapInArrow(releasing(path, run), f"part int, shard int, start long, n_ids long, docs array<{kind}>, lengths array<long>, payload binary").write.parquet(out)
+    ordered.mapInArrow(trimming(releasing(path, run)), f"part int, shard int, start long, n_ids long, docs array<{kind}>, lengths array<long>, payload binary").write.parquet(out)
 
 
 def read_ids(spark, out: str) -> DataFrame:
@@ -228,4 +244,4 @@ def documents_of(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column("docs")[i].as_py(), batch.column("docs").type.value_type), pa.array(ends - lengths + batch.column("start")[i].as_py()), pa.array(lengths), pa.array(crc, pa.int64())], names=[id_column, "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("start", "docs", "lengths", "payload").mapInArrow(run, f"`{id_column}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("start", "docs", "lengths", "payload").mapInArrow(trimming(run), f"`{id_column}` {kind}, start long, n_tokens long, ids_crc32 long")

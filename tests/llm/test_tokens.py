@@ -1,5 +1,7 @@
 import collections
 import hashlib
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from passagelake.llm import chunk_reuse, packing, repair_store, token_counts
+from passagelake.llm import chunk_reuse, common, packing, repair_store, token_counts
 from passagelake.llm.common import tokenizer_path
 from passagelake.llm.pieces import encoder, library
 
@@ -161,3 +163,34 @@ def test_grammar_sees_all_symbols():
     # one symbol stands for the phrase in each of its places
     assert repair_store.Grammar(rules, 40_000).widths.max() >= 500 and len(symbols) <= 40 * 21
     assert max(apart(symbols.tolist()).values()) < repair_store.LEAST
+
+
+def test_grammar_takes_few_bytes_for_each_symbol():
+    r = np.random.default_rng(4)
+    ids = r.integers(0, 100, 1 << 18).astype(np.uint32)  # nearly all pairs are frequent
+    tracemalloc.start()
+    try:
+        symbols, rules = repair_store.compress(ids, 40_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rules) > 1000 and repair_store.Grammar(rules, 40_000).expand(symbols.astype(np.int64)).tolist() == ids.tolist()
+    assert peak < 75 * len(ids)
+
+
+def test_workers_give_freed_memory_back():
+    def anonymous():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    def task(batches):
+        # what a step leaves: small blocks, of which the last one stays
+        held = [bytearray(100_000) for _ in range(1000)]
+        last = held.pop()
+        yield anonymous()
+        held.clear()
+        yield last
+
+    run = common.trimming(task)(iter([]))
+    peak = next(run)
+    list(run)
+    assert anonymous() < peak - 60
