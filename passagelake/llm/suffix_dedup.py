@@ -204,9 +204,9 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, gram: int = GRAM, group:
     most = max(group, n // SHARE)
     if n > most:
         counted = found.filter(F.pmod(F.xxhash64("k1", "k2", "at"), F.lit(SAMPLE)) == 0).groupBy("gram").count()
-        hot = stored(counted.filter(F.col("count") * SAMPLE >= most).select("gram", F.lit(True).alias("hot")), "hot-strings")  # SHARE rows or so
-        if not hot.isEmpty():
-            rows = found.join(F.broadcast(hot), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        hot = [r["gram"] for r in counted.filter(F.col("count") * SAMPLE >= most).select("gram").collect()]  # SHARE numbers or so
+        if hot:
+            rows = found.withColumn("hot", F.col("gram").isin(hot))  # a set to look up, not a join: most anchors may be hot
             where = F.struct("k1", "k2", "at")
             full = rows.filter("hot").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(where).alias("one"), F.max(where).alias("other"))
             full = stored(full.filter((F.col("n") >= most) & (F.col("one") != F.col("other"))).select("gram", "context", "one"), "hot-contexts")  # SHARE rows at most

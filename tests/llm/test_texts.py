@@ -81,6 +81,23 @@ def test_hot_strings_are_dealt_out(spark):
         assert sorted(map(tuple, out)) == expected
 
 
+def test_anchors_of_hot_strings_are_told_without_a_join(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return common.stored(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", recorded)
+    r = random.Random(6)
+    texts = ["a" * 90] + [f"{r.random()} {'the line that stands everywhere ' * 2}{r.random()}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    out = suffix_dedup.remove_repeats(df, 40, 12, 20, digests=True, keep=("doc_id",)).collect()
+    assert sorted(map(tuple, out)) == [(i, *e) for i, e in enumerate(removed([t.encode() for t in texts], 40))]
+    assert any(re.search(r"gram#\d+L (IN|INSET) ", p) for p in plans)
+    assert not any(re.search(r"Join (Inner|LeftSemi), \(gram#\d+L = gram#\d+L\)", p) for p in plans)
+
+
 def components(rows, n=4, percent=85):
     sets = []
     for _, t in rows:
