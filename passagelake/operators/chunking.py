@@ -8,13 +8,17 @@ depends on the one before, so a text is walked sequentially; texts are walked in
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from passagelake.functions.text import WHITE_SPACE
 
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 64
+HELD_CHARS = 4 << 20  # of passages that a worker holds, whatever the texts' lengths
 
 
 def _forward(raw: bytes, at: int) -> int:
@@ -71,9 +75,47 @@ def chunk(files: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap
                 for n, (offset, passage) in enumerate(chunk_text(value.as_py(), size, overlap)):
                     rows.append((i, n, offset, passage))
                     held += len(passage)
-                if held > 4 << 20:  # keeps a worker's memory bounded whatever the texts' lengths
+                if held > HELD_CHARS:
                     yield out()
                     rows, held = [], 0
             yield out()
 
     return files.select(key, text).mapInArrow(walk, f"`{key}` {kind}, chunk_ord int, byte_offset long, text string")
+
+
+def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """A head row for each of files (path, path_key, hash, text), and a row for each of its passages, in one pass without a shuffle.
+
+    `file` is a number that a file's rows share and no other's have. Only heads have path, path_key, hash and n_chunks (null
+    where there is no text), only passages chunk_ord, byte_offset, text and text_hash (the SHA-256 as bytes)."""
+    if size < 1 or overlap < 0:
+        raise ValueError("chunk size must be positive and overlap not negative")
+    schema = pa.schema([("file", pa.int64()), ("path", pa.string()), ("path_key", pa.list_(pa.string())), ("hash", pa.string()), ("n_chunks", pa.int64()), ("chunk_ord", pa.int32()), ("byte_offset", pa.int64()), ("text", pa.string()), ("text_hash", pa.binary())])
+
+    def walk(batches):
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            columns, held = [[] for _ in schema], 0
+            paths, keys, hashes, texts = (batch.column(i) for i in range(4))
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                found = chunk_text(text, size, overlap)
+                n = len(found)
+                offsets, passages = zip(*found) if found else ((), ())
+                nothing = [None] * n
+                head = paths[i].as_py(), keys[i].as_py(), hashes[i].as_py(), None if text is None else n
+                for column, value, rest in zip(columns, (number, *head, None, None, None, None), ([number] * n, nothing, nothing, nothing, nothing, range(n), offsets, passages, [hashlib.sha256(p.encode()).digest() for p in passages])):
+                    column.append(value)
+                    column.extend(rest)
+                number += 1
+                held += sum(map(len, passages))
+                if held > HELD_CHARS:
+                    yield out()
+                    columns, held = [[] for _ in schema], 0
+            yield out()
+
+    return files.select("path", "path_key", "hash", "text").mapInArrow(walk, "file long, path string, path_key array<string>, hash string, n_chunks long, chunk_ord int, byte_offset long, text string, text_hash binary")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from pathlib import Path
 from typing import Protocol
 
@@ -13,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH = 128
+ROWS = 2048  # texts whose vectors a worker holds at once
+BUCKETS, BUCKET_LETTERS = 100_000, 64  # words and their letters that a provider's table holds
+LETTERS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))  # of a word; other bytes part words
 
 
 class Provider(Protocol):
@@ -23,27 +25,39 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Buckets(dict):
+    """The buckets of words, each computed once while the table is not full."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        bucket = int(hashlib.md5(word).hexdigest()[:8], 16) % self.dim
+        if len(word) <= BUCKET_LETTERS:
+            if len(self) >= BUCKETS:
+                self.clear()
+            self[word] = bucket
+        return bucket
+
+    def __reduce__(self):  # tasks begin with an empty table
+        return _Buckets, (self.dim,)
+
+
 class HashingProvider:
     """Offline and lexical: words are counted in buckets of their MD5 and the counts scaled to a unit vector. No semantic model."""
 
     backend_id = "hashing-md5"
 
     def __init__(self, dim: int = 64):
-        self.dim, self.model_id, self._buckets = dim, f"hashing-{dim}", {}
-
-    def _bucket(self, word: str) -> int:
-        if len(self._buckets) > 500_000:
-            self._buckets.clear()
-        if word not in self._buckets:
-            self._buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-        return self._buckets[word]
+        self.dim, self.model_id, self._buckets = dim, f"hashing-{dim}", _Buckets(dim)
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            words = re.findall("[a-z0-9]+", text.lower())
+            words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
             if words:
-                out[i] = np.bincount([self._bucket(w) for w in words], minlength=self.dim)
+                out[i] = np.bincount(np.fromiter(map(self._buckets.__getitem__, words), np.int64, len(words)), minlength=self.dim)
                 out[i] /= math.sqrt(float((out[i] * out[i]).sum()))
         return out.astype(np.float32)
 
@@ -96,22 +110,41 @@ class OnnxProvider:
         return np.stack([pool_and_normalize(s, m, s.shape[0], s.shape[1]) for s, m in zip(states, mask)])
 
 
-def embed(texts: DataFrame, provider: Provider, text: str = "text", out: str = "embedding") -> DataFrame:
-    """texts with the provider's vectors. Within a batch texts are embedded by length, BATCH at a time, and put back in order."""
+def half_and_norm(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows rounded to binary16 values, and their norms: half_vector() and norm() of whole matrices."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        half = vectors.astype(np.float16).astype(np.float32)
+        total = np.zeros(len(half), np.float32)
+        for j in range(half.shape[1]):  # in index order and single precision
+            total += half[:, j] * half[:, j]
+    return half, np.sqrt(total.astype(np.float64)).astype(np.float32)
+
+
+def embed(texts: DataFrame, provider: Provider, text: str = "text", out: str = "embedding", stored_form: bool = False) -> DataFrame:
+    """texts with the provider's vectors. Within a batch texts are embedded by length, BATCH at a time, and put back in order.
+
+    stored_form: vectors as an index holds them, rounded to binary16 values, and with their norms in `<out>_norm`."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
 
     def run(batches):
         for batch in batches:
-            values = [v or "" for v in batch.column(text).to_pylist()]
-            order = sorted(range(len(values)), key=lambda i: len(values[i].encode()))
-            vectors = np.zeros((len(values), provider.dim), np.float32)
-            for a in range(0, len(order), BATCH):
-                part = order[a : a + BATCH]
-                made = np.asarray(provider.embed([values[i] for i in part]), np.float32)
-                if made.shape != (len(part), provider.dim):
-                    raise ValueError(f"the embedding backend returned {' x '.join(map(str, made.shape))} values for {len(part)} texts of {provider.dim} dimensions")
-                vectors[part] = made
-            column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * provider.dim), pa.array(vectors.ravel()))
-            yield batch.append_column(out, column)
-
-    return texts.mapInArrow(run, f"{fields}, `{out}` array<float>")
+            for begin in range(0, batch.num_rows, ROWS):
+                yield made_of(batch.slice(begin, ROWS))
+
+    def made_of(batch):
+        values = [v or "" for v in batch.column(text).to_pylist()]
+        order = sorted(range(len(values)), key=lambda i: len(values[i].encode()))
+        vectors = np.zeros((len(values), provider.dim), np.float32)
+        for a in range(0, len(order), BATCH):
+            part = order[a : a + BATCH]
+            made = np.asarray(provider.embed([values[i] for i in part]), np.float32)
+            if made.shape != (len(part), provider.dim):
+                raise ValueError(f"the embedding backend returned {' x '.join(map(str, made.shape))} values for {len(part)} texts of {provider.dim} dimensions")
+            vectors[part] = made
+        if stored_form:
+            vectors, norms = half_and_norm(vectors)
+        column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * provider.dim), pa.array(vectors.ravel()))
+        batch = batch.append_column(out, column)
+        return batch.append_column(f"{out}_norm", pa.array(norms)) if stored_form else batch
+
+    return texts.mapInArrow(run, f"{fields}, `{out}` array<float>" + (f", `{out}_norm` float" if stored_form else ""))

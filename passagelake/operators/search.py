@@ -10,19 +10,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagelake.functions.vectors import cosine
-
 BLOCK = 1024  # rows of a block of vectors
 LITERALS = 1000  # so many ids are looked up as values of a filter, more by a join
 
 
 def top_k(texts: DataFrame, query: list[float], k: int, id_column: str = "text_id", vector: str = "embedding", norm: str = "embedding_norm") -> DataFrame:
     """The k best of one query, ties to the smaller id: a partition-local top-k, then a merge of k rows each."""
-    q = F.array(*[F.lit(float(x)).cast("float") for x in query])
-    scored = texts.select(id_column, cosine(q, F.col(vector), F.col(norm)).alias("score"))
+    q, kind = np.asarray(query, np.float32), texts.schema[id_column].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK):
+                ids, vectors, norms = batch.slice(begin, BLOCK).columns
+                yield pa.RecordBatch.from_arrays([ids, _cosines(q, vectors, norms)], names=[id_column, "score"])
+
+    scored = texts.select(id_column, vector, norm).mapInArrow(score, f"`{id_column}` {kind}, score float")
     return scored.orderBy(F.col("score").desc(), id_column).limit(max(0, k))
 
 
+def _cosines(q: np.ndarray, vectors: pa.Array, norms: pa.Array) -> pa.Array:
+    """cosine() of a query with each vector, summed in the same order and precision: 0 where the norm is 0, else null where a value is missing."""
+    x, flat = _matrix(vectors), vectors.flatten()
+    missing = np.asarray(vectors.is_null()) | np.asarray(norms.is_null())
+    if flat.null_count:
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        missing[row[np.asarray(flat.is_null()) & (at < len(q))]] = True
+    size, total = np.asarray(pc.fill_null(norms, 1), np.float32), np.zeros(len(x), np.float32)
+    with np.errstate(all="ignore"):
+        for j in range(min(x.shape[1], len(q))):
+            total += q[j] * x[:, j]
+        scores = np.where(size == 0, np.float32(0), (total.astype(np.float64) / size.astype(np.float64)).astype(np.float32))
+    return pa.array(scores, pa.float32(), mask=missing & (size != 0))
+
+
 def federated_top_k(indexes: list[DataFrame], query: list[float], k: int) -> DataFrame:
     """The k best over several indexes (UNION ALL), ties to the earlier index, then the smaller id."""
     local = [top_k(t, query, k).withColumn("index_order", F.lit(i)) for i, t in enumerate(indexes)]

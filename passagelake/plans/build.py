@@ -10,9 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.functions.vectors import half_vector, norm
-from passagelake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk
-from passagelake.operators.dedup import text_hash, unique_texts, unknown_texts
+from passagelake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files
 from passagelake.operators.embed import Provider, embed
 from passagelake.operators.ids import dense_ids
 from passagelake.sources import store
@@ -20,6 +18,8 @@ from passagelake.sources.config import Config, portable
 from passagelake.sources.discover import Discovery, read_files, walk
 from passagelake.sources.scratch import stored
 
+HASHES = 1_000_000  # so many paths of changed files are sent to all tasks, as hashes; more are joined
+
 
 @dataclass
 class Report:
@@ -34,8 +34,7 @@ class Report:
 
 
 def with_vectors(texts: DataFrame, provider: Provider) -> DataFrame:
-    vectors = embed(texts, provider).withColumn("embedding", half_vector(F.col("embedding")))
-    return vectors.withColumn("embedding_norm", norm(F.col("embedding")))
+    return embed(texts, provider, stored_form=True)
 
 
 def diff(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -44,13 +43,21 @@ def diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("new").isNull(), "deleted").when(F.col("new").eqNullSafe(F.col("old")), "unchanged").otherwise("dirty").alias("status"))
 
 
+def of_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files with one of these paths, and perhaps some more whose path has the same hash. Texts are not shuffled unless the paths are very many."""
+    if paths.count() > HASHES:
+        return files.join(paths, "path", "left_semi")
+    hashes = paths.select(F.xxhash64("path").alias("h"))
+    return files.join(F.broadcast(hashes), F.xxhash64(files["path"]) == hashes["h"], "left_semi")
+
+
 def compact(sources: DataFrame, texts: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Without what no occurrence names; ids are dense again, in the old order. Ids that do not exist are an error."""
     def remap(table: DataFrame, key: str) -> DataFrame:
-        if bad := occurrences.join(table.select(key), key, "left_anti").first():
+        ids = dense_ids(occurrences.select(key).distinct(), [key], "new_id")
+        if bad := ids.join(table.select(key), key, "left_anti").first():
             raise ValueError(f"invalid {key.split('_')[0]} ID {bad[key]}")
-        active = table.select(key).join(occurrences.select(key), key, "left_semi")
-        return dense_ids(active, [key], "new_id")
+        return ids
 
     s, t = remap(sources, "source_id"), remap(texts, "text_id")
     renumber = lambda table, ids, key: table.join(ids, key).drop(key).withColumnRenamed("new_id", key)
@@ -61,56 +68,72 @@ def compact(sources: DataFrame, texts: DataFrame, occurrences: DataFrame) -> tup
 def build(files: DataFrame, provider: Provider, root_dir: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, previous: store.Index | None = None, seen: DataFrame | None = None) -> tuple[store.Index, Report]:
     """files: path, path_key, hash, text. With a reusable previous index only changed files are chunked and only new texts embedded.
 
-    seen (path, hash) are all files where `files` holds only the changed ones; a file in both has the hash of `files`, which goes with its text."""
-    files = stored(files, "files")
-    hashes = files.select("path", "hash")
-    if seen is not None:
-        hashes = stored(seen.select("path", "hash").join(hashes, "path", "left_anti").unionByName(hashes), "hashes")
+    seen (path, hash) are all files where `files` holds only the changed ones; a file in both has the hash of `files`, which goes with its text.
+
+    Passages are written once with their texts. They get their places from their files' counts, meet by hashes, and a text is
+    shuffled once, on its way to its vector."""
+    if previous is not None and seen is None:
+        # first the hashes of all files, then the texts of the changed ones
+        seen = stored(files.select("path", "hash"), "seen")
+        changed = stored(diff(seen, previous.file_hashes).filter("status = 'dirty'").select("path"), "changed")
+        files = of_paths(files, changed)
+    rows = stored(chunk_files(files, size, overlap), "chunks")
+    heads, pieces = rows.filter("chunk_ord IS NULL"), rows.filter("chunk_ord IS NOT NULL")
+    hashes = heads.select("path", "hash")
+    heads = heads.select("file", "path", "path_key", "n_chunks")
     report = Report(None)
-    kept = None
+    last = lambda df, key: (-1 if (top := df.agg(F.max(key)).first()[0]) is None else top)
+    occ_base = text_base = source_base = n_kept = 0
+    if seen is not None:
+        hashes = seen.select("path", "hash").join(hashes, "path", "left_anti").unionByName(hashes)
+    hashes = stored(hashes, "hashes")
     if previous is not None:
         status = stored(diff(hashes, previous.file_hashes), "diff")
         n = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         report = Report(None, n.get("unchanged", 0), n.get("dirty", 0), n.get("deleted", 0))
         previous.check()
-        same = status.filter("status = 'unchanged'").select("path")
-        files = files.join(status.filter("status = 'dirty'"), "path", "left_semi")
-        kept = previous.occurrences.join(previous.sources, "source_id").join(same, "path", "left_semi").select("occ_ord", "source_id", "text_id", "byte_offset")
-    report.skipped = files.filter(F.col("text").isNull()).count()
-    keyed = files.filter(F.col("text").isNotNull()).select(F.to_json(F.struct("path", "path_key")).alias("file"), "text")
-    chunks = chunk(keyed, "file", "text", size, overlap).withColumn("f", F.from_json("file", "path string, path_key array<string>"))
-    chunks = chunks.select("f.path", "f.path_key", "chunk_ord", "byte_offset", "text", text_hash(F.col("text")).alias("text_hash"))
-    chunks = stored(chunks, "chunks")
-    order = ["path_key", "chunk_ord"]
-    if previous is None:
-        texts, sources = unique_texts(chunks, order), dense_ids(chunks.select("path", "path_key").distinct(), ["path_key"], "source_id")
-        texts = stored(with_vectors(texts, provider), "texts")
-        new = 0
-        base = 0
-    else:
-        top = lambda df, key: (df.agg(F.max(key)).first()[0] if not df.isEmpty() else None)
-        fresh = unknown_texts(chunks, previous.texts)
-        last = top(previous.texts, "text_id")
-        added = stored(with_vectors(unique_texts(fresh, order, 0 if last is None else last + 1), provider), "texts")
-        texts = previous.texts.unionByName(added.select(*previous.texts.columns))
-        last = top(previous.sources, "source_id")
-        unknown = chunks.select("path", "path_key").distinct().join(previous.sources, "path", "left_anti")
-        sources = previous.sources.unionByName(dense_ids(unknown, ["path_key"], "source_id", 0 if last is None else last + 1).select("source_id", "path"))
-        new = added.count()
-        last = top(previous.occurrences, "occ_ord")
-        base = 0 if last is None else last + 1
-    numbered = dense_ids(chunks.select("path", *order, "byte_offset", "text_hash"), order, "occ_ord", base)
-    occurrences = numbered.join(sources.select("path", "source_id"), "path").join(texts.select("text_hash", "text_id"), "text_hash").select("occ_ord", "source_id", "text_id", "byte_offset")
-    if kept is not None:
+        same = previous.sources.join(status.filter("status = 'unchanged'"), "path", "left_semi").select("source_id")
+        kept = previous.occurrences.join(same, "source_id", "left_semi").select("occ_ord", "source_id", "text_id", "byte_offset")
+        heads = stored(heads.join(status.filter("status = 'dirty'"), "path", "left_semi"), "heads")
+        occ_base, text_base, source_base = (last(table, key) + 1 for table, key in ((previous.occurrences, "occ_ord"), (previous.texts, "text_id"), (previous.sources, "source_id")))
+    report.skipped = heads.filter(F.col("n_chunks").isNull()).count()
+    # a passage's place is its file's, which follows from the counts of the files before, and its number
+    files = dense_ids(heads.filter("n_chunks > 0"), ["path_key"], "source_id", 0, {"base": ("n_chunks", occ_base)})
+    sources = files.select("source_id", "path")
+    if previous is not None:
+        files = files.drop("source_id").join(previous.sources.select("path", "source_id"), "path", "left")
+        unknown = dense_ids(files.filter(F.col("source_id").isNull()).drop("source_id"), ["path_key"], "source_id", source_base)
+        files = stored(files.filter(F.col("source_id").isNotNull()).unionByName(unknown), "files")
+        sources = previous.sources.unionByName(unknown.select("source_id", "path"))
+    places = files.select("file", "source_id", "base").hint("shuffle_hash")
+    placed = stored(pieces.select("file", "chunk_ord", "byte_offset", "text_hash").join(places, "file").select("file", "chunk_ord", (F.col("base") + F.col("chunk_ord")).alias("occ_ord"), "source_id", "byte_offset", "text_hash"), "placed")
+    firsts = placed.groupBy("text_hash").agg(F.min(F.struct("occ_ord", "file", "chunk_ord")).alias("f")).select("text_hash", "f.*")
+    if previous is not None:
+        firsts = stored(firsts.join(previous.texts.select(F.unhex("text_hash").alias("text_hash"), "text_id"), "text_hash", "left"), "firsts")
+    fresh = firsts if previous is None else firsts.filter(F.col("text_id").isNull()).drop("text_id")
+    fresh = dense_ids(fresh, ["occ_ord"], "text_id", text_base)
+    ids = fresh.select("text_hash", "text_id")
+    if previous is not None:
+        ids = ids.unionByName(firsts.filter(F.col("text_id").isNotNull()).select("text_hash", "text_id"))
+    numbers = fresh.select("file", "chunk_ord", "text_id").hint("shuffle_hash")
+    named = pieces.select("file", "chunk_ord", "text", "text_hash").join(numbers, ["file", "chunk_ord"]).select("text_id", "text", F.lower(F.hex("text_hash")).alias("text_hash"))
+    texts = stored(with_vectors(named, provider), "texts")
+    report.new_texts = texts.count()
+    if report.new_texts != fresh.count():
+        raise ValueError("texts were lost")
+    occurrences = placed.join(ids, "text_hash").select("occ_ord", "source_id", "text_id", "byte_offset")
+    if previous is not None:
+        texts = previous.texts.unionByName(texts.select(*previous.texts.columns))
         occurrences = stored(kept.unionByName(occurrences), "occurrences")
+        n_kept = kept.count()
         sources, texts, occurrences = compact(sources, texts, occurrences)
     occurrences = stored(occurrences, "occurrences")
     texts = texts.select("text_id", "text", "text_hash", "embedding", "embedding_norm")
     meta = store.Meta(provider.model_id, provider.dim, root_dir, size, overlap, provider.backend_id, occurrences.count(), texts.count(), time.strftime("%Y-%m-%dT%H:%M:%S%z"), store.FORMAT_VERSION)
-    report.new_texts = new if previous is not None else meta.num_unique_texts
-    index = store.Index(meta, sources.select("source_id", "path"), texts, occurrences, hashes)
-    index.check()
-    return index, report
+    # the joins above find each id or drop the row, so with none dropped all ids exist
+    if meta.num_chunks != n_kept + (heads.agg(F.sum("n_chunks")).first()[0] or 0):
+        raise ValueError("occurrences were lost")
+    return store.Index(meta, sources.select("source_id", "path"), texts, occurrences, hashes), report
 
 
 def index_folder(spark: SparkSession, root: str, folder: str, provider: Provider, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, discovery: Discovery = Discovery(), metadata_root: str | None = None) -> Report:

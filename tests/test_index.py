@@ -1,15 +1,21 @@
+import hashlib
 import json
+import pickle
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from passagelake.functions.vectors import half_vector, to_half
+from passagelake.functions.vectors import cosine, half_vector, norm, to_half
+from passagelake.operators import embed as embed_module
 from passagelake.operators.embed import HashingProvider, OnnxProvider, embed, pool_and_normalize
 from passagelake.operators.ids import dense_ids
 from passagelake.operators.search import batch_top_k, federated_top_k, resolve_hits, top_k
+from passagelake.plans import build as build_module
 from passagelake.plans import federation
-from passagelake.plans.build import compact, index_folder
+from passagelake.plans.build import build, compact, index_folder
 from passagelake.sources import store
 
 P = HashingProvider(32)
@@ -157,3 +163,102 @@ def test_dense_ids_and_missing_models(spark, tmp_path):
     assert dense_ids(rows.limit(0), ["k"], "n").count() == 0
     with pytest.raises(FileNotFoundError):
         OnnxProvider(str(tmp_path), "m")
+
+
+def test_stored_form_equals_the_columns(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "a b a", "İK one Two-2 ſé x", "word " * 70_000, "é " * 5])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r for r in embed(df, P, stored_form=True).collect()}
+    plain = embed(df, P)
+    for r in plain.select("id", half_vector(plain.embedding).alias("h")).withColumn("n", norm("h")).collect():
+        assert (got[r.id].embedding, got[r.id].embedding_norm) == (r.h, r.n)
+
+
+def test_words_are_runs_of_ascii_letters():
+    texts = ["İstanbul K2 naïve_x\x00y ſ", "A1b2 " * 9, "", "　", "x" * 300 + " x"]
+    vectors = P.embed(texts)
+    for text, vector in zip(texts, vectors):
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % P.dim for w in re.findall("[a-z0-9]+", text.lower()))
+        whole = np.array([counts[i] for i in range(P.dim)], float)
+        assert (vector == (whole / (np.sqrt((whole * whole).sum()) or 1)).astype(np.float32)).all()
+
+
+def test_tables_of_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(embed_module, "BUCKETS", 50)
+    p = HashingProvider(8)
+    p.embed([" ".join(f"w{i}" for i in range(1000)), "long" * 100])
+    assert len(p._buckets) <= 50 and b"long" * 100 not in p._buckets
+    assert not pickle.loads(pickle.dumps(p))._buckets  # tasks get no words that the driver has met
+
+
+def test_top_k_of_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0], 1.0), (2, None, 1.0), (3, [1.0], None), (4, [None, 1.0], 1.0), (5, [1.0, 0.0, None], 1.0), (6, [nan, 0.0], 1.0), (7, None, 0.0), (8, [], 2.0), (9, [0.5], 2.0)]
+    t = spark.createDataFrame(rows, "text_id long, embedding array<float>, embedding_norm float")
+    q = F.array(*[F.lit(x).cast("float") for x in (1.0, 0.5)])
+    expected = t.select("text_id", cosine(q, t.embedding, t.embedding_norm).alias("score")).orderBy(F.desc("score"), "text_id").collect()
+    assert list(map(repr, top_k(t, [1.0, 0.5], 20).collect())) == list(map(repr, expected))
+
+
+def test_running_sums(spark):
+    rows = spark.range(500).selectExpr("id * 7 % 500 AS k", "id % 3 AS n")
+    got = sorted((r.k, r.i, r.before, r.n) for r in dense_ids(rows, ["k"], "i", 2, {"before": ("n", 10)}).collect())
+    before = 10
+    for i, (k, number, sum_before, n) in enumerate(got):
+        assert (k, number, sum_before) == (i, i + 2, before)
+        before += n
+    assert dense_ids(rows.limit(0), ["k"], "i", 0, {"before": ("n", 0)}).columns == ["k", "n", "i", "before"]
+
+
+def written(spark, run):
+    """MB that the call's tasks wrote to tables and to shuffles."""
+    seen = lambda: sum(s.outputBytes() + s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size())))
+    status = spark.sparkContext._jsc.sc().statusStore()
+    everything = lambda: status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    stages = everything()
+    before = seen()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = everything()
+    return (seen() - before) / 1e6
+
+
+def test_a_text_is_written_thrice_at_most(spark):
+    r = np.random.default_rng(3)
+    texts = [r.bytes(45_000).hex() for _ in range(100)]  # does not shrink by much
+    rows = [(f"d/{i}.md", ["d", f"{i}.md"], str(i), t) for i, t in enumerate(texts)]
+    files = spark.createDataFrame(rows, "path string, path_key array<string>, hash string, text string").localCheckpoint()
+    first = []
+    # passages, their way to the vectors, the texts: each 1.15 times the 9 MB; hashes and vectors of 512 bytes of text
+    assert written(spark, lambda: first.append(build(files, P, "w")[0])) < 40
+    changed = files.withColumn("hash", F.when(F.col("path") == "d/1.md", "new").otherwise(F.col("hash")))
+    # one file is new: nothing that grows with the other texts is written
+    assert written(spark, lambda: build(changed, P, "w", previous=first[0])) < 9
+
+
+def test_a_refresh_equals_a_build(spark):
+    def files(*rows):
+        return spark.createDataFrame([(p, p.split("/"), h, t) for p, h, t in rows], "path string, path_key array<string>, hash string, text string")
+
+    rows = lambda i: Counter((r.path, r.byte_offset, r.text) for r in i.occurrences.join(i.sources, "source_id").join(i.texts, "text_id").collect())
+    old = files(("a", "1", "one " * 40), ("a-b/c", "2", "two " * 90), ("a/b", "3", None), ("e", "4", "  "), ("gone", "5", "only here"), ("same", "6", "one " * 40))
+    new = files(("a", "1", "one " * 40), ("a-b/c", "7", "two " * 90 + "more"), ("a/b", "3", None), ("e", "8", "now text"), ("same", "6", "one " * 40), ("Z", "9", "one " * 40), ("n", "10", None))
+    first, r = build(old, P, "r", 100, 10)
+    assert (r.skipped, r.new_texts, first.file_hashes.count(), first.sources.count()) == (1, first.meta.num_unique_texts, 6, 4)
+    second, r = build(new, P, "r", 100, 10, previous=first)
+    assert (r.unchanged, r.dirty, r.deleted, r.skipped) == (3, 4, 1, 1)
+    assert rows(second) == rows(build(new, P, "r", 100, 10)[0]) and second.meta.num_chunks == sum(rows(second).values())
+    assert sorted(x.source_id for x in second.sources.collect()) == list(range(5))
+    assert {x.path: x.source_id for x in second.sources.collect()} == {"a": 0, "a-b/c": 1, "same": 2, "Z": 3, "e": 4}
+    # by a join where the changed paths are many, by their hashes else: the same rows
+    for many in (0, 100):
+        build_module.HASHES, kept = many, build_module.HASHES
+        try:
+            assert rows(build(new, P, "r", 100, 10, previous=first)[0]) == rows(second)
+        finally:
+            build_module.HASHES = kept
+    # read again, a file has become what it was: it counts as unchanged and keeps its passages
+    seen = new.select("path", F.when(F.col("path") == "a", "passing").otherwise(F.col("hash")).alias("hash"))
+    third, r = build(new.filter("path IN ('a', 'a-b/c', 'e', 'Z', 'n')"), P, "r", 100, 10, previous=first, seen=seen)
+    assert (r.unchanged, r.dirty) == (3, 4) and rows(third) == rows(second)
+    assert build(new.filter("path = 'n'"), P, "r")[0].meta.num_chunks == 0
