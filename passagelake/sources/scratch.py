@@ -23,7 +23,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared scratch and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table

@@ -82,7 +82,7 @@ def save(folder: str, index: Index) -> str:
     version = files.joined(folder, name)
     for table, schema in SCHEMAS.items():
         columns = [c.split()[0] for c in schema.replace(", ", ",").split(",")]
-        getattr(index, table).select(*columns).write.parquet(files.for_spark(files.joined(version, table)))
+        getattr(index, table).select(*columns).write.option("compression", "zstd").parquet(files.for_spark(files.joined(version, table)))
     files.write_text(files.joined(version, "meta.json"), json.dumps(asdict(index.meta), indent=2))
     files.write_text(files.joined(folder, "CURRENT.tmp"), name)
     files.replace(files.joined(folder, "CURRENT.tmp"), files.joined(folder, "CURRENT"))

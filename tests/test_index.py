@@ -17,6 +17,7 @@ from passagelake.plans import build as build_module
 from passagelake.plans import federation
 from passagelake.plans.build import build, compact, index_folder
 from passagelake.sources import store
+from passagelake.sources.scratch import stored
 
 P = HashingProvider(32)
 
@@ -262,3 +263,11 @@ def test_a_refresh_equals_a_build(spark):
     third, r = build(new.filter("path IN ('a', 'a-b/c', 'e', 'Z', 'n')"), P, "r", 100, 10, previous=first, seen=seen)
     assert (r.unchanged, r.dirty) == (3, 4) and rows(third) == rows(second)
     assert build(new.filter("path = 'n'"), P, "r")[0].meta.num_chunks == 0
+
+
+def test_tables_are_compressed_with_zstd(spark, tmp_path):
+    table = stored(spark.range(10), "codec")
+    assert all(".zstd." in f for f in table.inputFiles())
+    files = spark.createDataFrame([("a", ["a"], "1", "one text")], "path string, path_key array<string>, hash string, text string")
+    store.save(str(tmp_path / "i"), build(files, P, "r")[0])
+    assert all(".zstd." in f for f in store.load(spark, str(tmp_path / "i")).texts.inputFiles())
